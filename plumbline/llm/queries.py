@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, packing, quality, sharding, simhash
+from . import common, mixing, packing, quality, sharding, simhash, suffix_dedup
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(common.table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_query(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op6_packing, op7_sharding, op8_quality, op9_mixing)}
+    return {f.__name__: f for f in (op3_simhash, op6_packing, op7_sharding, op8_quality, op9_mixing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
