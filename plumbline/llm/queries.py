@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, packing, quality, sharding, simhash, suffix_dedup
+from . import ann_tree, common, mixing, packing, quality, sharding, simhash, suffix_dedup
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(common.table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.ann_query(common.table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_query(common.table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op6_packing, op7_sharding, op8_quality, op9_mixing, op10_suffix)}
+    return {f.__name__: f for f in (op3_simhash, op5_ann, op6_packing, op7_sharding, op8_quality, op9_mixing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
