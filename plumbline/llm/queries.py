@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, common, gru_lm, html_extract, mixing, packing, quality, sharding, simhash, suffix_dedup
+from . import ann_tree, common, gru_lm, html_extract, id_files, mixing, packing, quality, sharding, simhash, suffix_dedup
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(common.table(spark, sf_dir, "pages"))
 
 
+def op2_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.ids_query(common.table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(common.table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op3_simhash, op4_lm, op5_ann, op6_packing, op7_sharding, op8_quality, op9_mixing, op10_suffix)}
+    return {f.__name__: f for f in (op1_html, op2_ids, op3_simhash, op4_lm, op5_ann, op6_packing, op7_sharding, op8_quality, op9_mixing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
