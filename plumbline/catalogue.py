@@ -17,7 +17,10 @@ from .functions import text as analyzers
 from .functions import values, vectors
 from .operators import facets as facet_ops
 from .plans import request
-from .streaming import fold
+from .plans.nodes import Match
+from .sources import json_lines, postings, snapshot
+from .storage import new_path
+from .streaming import fold, stream
 
 DIGITS = 6
 VECTORS = {name: [round(((i * 37 + s * 11) % 17 - 8) / 8.0, 4) for i in range(64)] for s, name in enumerate(("a", "b", "c"))}
@@ -425,6 +428,65 @@ def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("fold_versions", _versioned, "SELECT user_id::VARCHAR AS external_id, arg_max(event_type, (event_id * 7919) % 1009 * 100000000 - event_id) AS kind, arg_max(value, (event_id * 7919) % 1009 * 100000000 - event_id) AS value FROM events GROUP BY user_id")
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes as a stream, folded batch by batch into versions on storage."""
+    changes, schema = _changes(spark, sf_dir)
+    kind = fold.change_schema(schema)
+    path = new_path(spark, "changes")
+    typed = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind])
+    # Two files by order, so that the stream has more than one batch to fold.
+    half = typed.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    typed.where(F.col("seq") <= half).coalesce(1).write.parquet(f"{path}/in/a")
+    typed.where(F.col("seq") > half).coalesce(1).write.parquet(f"{path}/in/b")
+    versions = stream.Versions(spark, f"{path}/out", schema)
+    for k, part in enumerate(("a", "b")):
+        source = spark.readStream.schema(kind).parquet(f"{path}/in/{part}")
+        query = stream.start(source, versions, f"{path}/checkpoint-{k}", once=True, first=k * 1000)
+        query.awaitTermination()
+    return versions.documents()
+
+
+_add("fold_stream", _streamed, SQL["fold_changes"])
+
+
+def _through_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _open(spark, sf_dir, "docs")
+    path = new_path(spark, "postings")
+    postings.build(c, "text", path)
+    found = postings.search(spark, path, Match("text", "The, of THE", "and"))
+    return found.select("external_id", F.round("score", DIGITS).alias("score"))
+
+
+_add("postings_match", _through_postings, SQL["match_and_all"])
+
+
+def _through_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as JSON lines, every seventh with a date that does not exist, and read back with checks."""
+    c = _open(spark, sf_dir, "orders")
+    path = new_path(spark, "json")
+    odd = F.col("external_id").cast("long") % 7 == 0
+    wire = c.rows.withColumn("day", F.when(odd, F.lit("2023-02-30")).otherwise(F.col("day").cast("string"))).withColumn("price", F.col("price").cast("string"))
+    wire.write.json(path)
+    good, bad = json_lines.read_documents(spark, path, c.schema)
+    both = good.select(F.lit("good").alias("kind"), "external_id", "day", F.col("price").cast("double").alias("price"))
+    return both.unionByName(bad.select(F.col("fields")[0].alias("kind"), "external_id", F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("price")))
+
+
+_add("json_lines", _through_json, f"""WITH {ORDERS} SELECT CASE WHEN external_id::BIGINT % 7 = 0 THEN 'day' ELSE 'good' END AS kind, external_id,
+CASE WHEN external_id::BIGINT % 7 <> 0 THEN day END AS day, CASE WHEN external_id::BIGINT % 7 <> 0 THEN price::DOUBLE END AS price FROM os""")
+
+
+def _through_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _open(spark, sf_dir, "customers")
+    path = new_path(spark, "snapshot")
+    snapshot.save(c, path)
+    return snapshot.load(Catalog(spark), "copy", path).search_all({"query": {"range": {"field": "balance", "lt": 0}}}).select("external_id", "score")
+
+
+_add("snapshot", _through_snapshot, f"WITH {CUSTOMERS} " + _one.format(t="cs", w="balance < 0"))
+_add("point_lookup", lambda spark, d: _open(spark, d, "orders").value("7", "total"), "SELECT o_totalprice AS total FROM orders WHERE o_orderkey = 7")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q["filtered_match"](spark, sf_dir)
 

@@ -49,14 +49,15 @@ def apply(versions: Versions, batch: DataFrame, number: int) -> None:
     versions.write(number, fold.fold(versions.state(below=number), batch, versions.schema))
 
 
-def start(changes: DataFrame, versions: Versions, checkpoint: str, once: bool = False) -> StreamingQuery:
+def start(changes: DataFrame, versions: Versions, checkpoint: str, once: bool = False, first: int = 0) -> StreamingQuery:
     """Fold a stream of change rows as it comes (or all there is, with `once`).
 
     A request sent again is known by its id and the content of its rows, for as long as a batch fold would remember
-    it; the watermark bounds what has to be kept. Equal rows of one request count once."""
+    it; the watermark bounds what has to be kept. Equal rows of one request count once. Batch n makes version
+    `first` + n."""
     marked = changes.withWatermark("at", f"{fold.REMEMBER_SECONDS} seconds")
     content = F.xxhash64("op", "external_id", "version", "fields", "items")
     key = F.when(F.col("request_id").isNotNull(), F.concat_ws(":", F.lit("r"), "request_id", content)).otherwise(F.concat_ws(":", F.lit("s"), "seq"))
     kept = marked.withColumn("__key", key).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
-    writer = kept.writeStream.foreachBatch(lambda b, n: apply(versions, b, n)).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = kept.writeStream.foreachBatch(lambda b, n: apply(versions, b, first + n)).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -195,3 +195,29 @@ def test_duplicates_and_stats(spark):
     groups, every = c.duplicates("s", 2, limit=1)
     assert [(r.value, r["size"], r.ids) for r in groups.collect()] == [("q", 3, ["a", "b", "d"])] and every.count() == 2
     assert {r.field: (r.documents, r.unique_terms) for r in c.stats().collect()} == {"k": (4, 2), "s": (3, 2)}
+
+
+def test_a_rebuild_takes_chunks_in_order_and_switches_once(spark, tmp_path):
+    from plumbline.streaming.rebuild import Rebuild
+
+    cat = Catalog(spark)
+    make = lambda *rows: spark.createDataFrame(rows, "external_id string, a string")
+    cat.declare("c", {"a": "keyword"}, make(("old", "x")))
+    r = Rebuild(cat, "c", cat["c"].schema, str(tmp_path / "shadow"))
+    with pytest.raises(QueryError):
+        r.chunk(0, make(("d", "1")))
+    r.start()
+    r.chunk(0, make(("d", "1"), ("e", "1")))
+    for wrong in (0, 2):
+        with pytest.raises(QueryError):
+            r.chunk(wrong, make(("d", "9")))
+    r.chunk(1, make(("d", "2")))
+    assert (r.chunks, r.documents, [x.external_id for x in cat["c"].rows.collect()]) == (2, 3, ["old"])
+    r.seal()
+    assert sorted(map(tuple, r.finish().rows.collect())) == [("d", "2"), ("e", "1")]
+    for move in (r.start, r.seal, r.cancel):
+        with pytest.raises(QueryError):
+            move()
+    other = Rebuild(cat, "c", cat["c"].schema, str(tmp_path / "other"))
+    other.fail("no space")
+    assert other.phase == "failed" and other.reason == "no space"
