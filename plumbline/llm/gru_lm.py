@@ -83,10 +83,14 @@ class Vocabulary:
         self.counts = counts
         self.used = min(len(top), NET)
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None, tail: list | None = None) -> np.ndarray:
+        """The codes of a text's tokens; words beyond the common ones are appended to `tail` as one list."""
         w = words(text)
         w.append(END)
-        return np.fromiter(map(self.codes.__getitem__, w), np.int32, len(w))
+        codes = np.fromiter(map(self.codes.__getitem__, w), np.int32, len(w))
+        if tail is not None:
+            tail.append([w[i].decode("utf-8", "replace") for i in np.flatnonzero(codes >= COMMON).tolist()])
+        return codes
 
 
 SHAPES = {"E": (NET + RARE + 1, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, C + RARE), "bc": (C + RARE,), "Ww": (C, HIDDEN, PER_CLASS), "bw": (C, PER_CLASS)}
@@ -139,10 +143,6 @@ def lanes(docs: list[np.ndarray], n_lanes: int) -> tuple[np.ndarray, np.ndarray]
     return codes[order], owner[order]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Network:
     def __init__(self, flat: np.ndarray, v: Vocabulary):
         self.flat, self.p, self.v = flat, unpack(flat), v
@@ -160,24 +160,50 @@ class Network:
             yield codes[:n, t : t + steps].T, previous[:n, t : t + steps].T, start[:n, t : t + steps].T, owner[:n, t : t + steps].T
 
     def run(self, inputs: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool):
+        """States of a window, the last one, and what backpropagation needs of it. Gates are logistic functions,
+        written as tanh of half the sum, which is halved once for all steps."""
         p, H = self.p, HIDDEN
         T, B = inputs.shape
-        x = p["E"][inputs] + p["b"]
-        states = np.empty((T, B, H), np.float32)
-        held = []
+        kind = self.flat.dtype
+        half = np.ones(3 * H, kind)
+        half[: 2 * H] = 0.5
+        x = ((p["E"] + p["b"]) * half)[inputs]
+        u = p["U"] * half
+        states = np.empty((T, B, H), kind)
+        held = [np.empty((T, B, H), kind) for _ in range(4)] if keep else []
+        fresh = start.any(1)
+        a, zr, n = np.empty((B, 3 * H), kind), np.empty((B, 2 * H), kind), np.empty((B, H), kind)
         for t in range(T):
-            if start[t].any():
+            if fresh[t]:
                 h = h * ~start[t][:, None]
-            a = h @ p["U"]
-            zr = _sigmoid(x[t, :, : 2 * H] + a[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(x[t, :, 2 * H :] + r * a[:, 2 * H :])
+            np.matmul(h, u, out=a)
+            np.add(x[t, :, : 2 * H], a[:, : 2 * H], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[:, H:], a[:, 2 * H :], out=n)
+            n += x[t, :, 2 * H :]
+            np.tanh(n, out=n)
+            now = states[t]
+            np.subtract(h, n, out=now)
             if keep:
-                held.append((h, a[:, 2 * H :], z, r, n))
-            h = n + z * (h - n)
-            states[t] = h
+                # What the gradients of z, n and r are multiplied by is made of these, for all steps at once.
+                held[0][t], held[1][t], held[2][t], held[3][t] = h, zr[:, :H], zr[:, H:], a[:, 2 * H :]
+            now *= zr[:, :H]
+            now += n
+            h = now
         return states, h, held
 
+    @staticmethod
+    def _sums(logits: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(exponentials, in place of the logits; their sums; what logits that may be large were lowered by)."""
+        shift = None
+        if not bounded:
+            shift = logits.max(1)
+            logits -= shift[:, None]
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(logits.shape[1], logits.dtype), shift
+
     # The state a token is predicted from has seen every token before it: inputs are shifted by one.
     def log_probs(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None):
         """log P(class | state) + log P(word | class, state) of each code (natural logs); optionally gradients."""
@@ -186,66 +212,83 @@ class Network:
         live = np.flatnonzero(k >= 0)
         if len(live) < len(k):
             s, k = s[live], k[live]
+        # States lie between -1 and 1, so column sums bound the logits; exp of less than 80 cannot overflow.
+        bounded = max(float((np.abs(p["Wc"]).sum(0) + np.abs(p["bc"])).max()), float((np.abs(p["Ww"]).sum(1) + np.abs(p["bw"])).max())) < 80
         klass = v.klass[k]
-        lc = s @ p["Wc"] + p["bc"]
-        lc -= lc.max(1, keepdims=True)
-        e = np.exp(lc)
-        total = e.sum(1)
+        # Tokens are put in the order of their classes once; each class is then a slice.
+        order = np.argsort(klass.astype(np.uint8), kind="stable")
+        s, k, klass = s[order], k[order], klass[order]
+        lc = s @ p["Wc"]
+        lc += p["bc"]
         at = np.arange(len(k))
-        out = lc[at, klass] - np.log(total)
+        picked = lc[at, klass]
+        e, total, shift = self._sums(lc, bounded)
+        out = picked - np.log(total) - (0 if shift is None else shift)
         ds = None
         if grads is not None:
-            g = e / -total[:, None]
-            g[at, klass] += 1
-            grads["Wc"] += s.T @ g
-            grads["bc"] += g.sum(0)
-            ds = g @ p["Wc"].T
-        net = np.flatnonzero(k < NET)
-        order = net[np.argsort(klass[net], kind="stable")]
-        edge = np.searchsorted(klass[order], np.arange(C + 1))
+            e *= (-1 / total)[:, None]
+            e[at, klass] += 1
+            grads["Wc"] += s.T @ e
+            grads["bc"] += e.sum(0)
+            ds = e @ p["Wc"].T
+        edge = np.searchsorted(klass, np.arange(C + 1)).tolist()
         for c in range(C):
-            own = order[edge[c] : edge[c + 1]]
-            if not len(own):
+            a, b = edge[c], edge[c + 1]
+            if a == b:
                 continue
-            so, j = s[own], k[own] - c * PER_CLASS
-            lw = so @ p["Ww"][c] + p["bw"][c]
-            lw -= lw.max(1, keepdims=True)
-            e = np.exp(lw)
-            total = e.sum(1)
-            i = np.arange(len(own))
-            out[own] += lw[i, j] - np.log(total)
+            so, j, i = s[a:b], k[a:b] - c * PER_CLASS, at[: b - a]
+            lw = so @ p["Ww"][c]
+            lw += p["bw"][c]
+            picked = lw[i, j]
+            e, total, shift = self._sums(lw, bounded)
+            out[a:b] += picked - np.log(total) - (0 if shift is None else shift)
             if grads is not None:
-                g = e / -total[:, None]
-                g[i, j] += 1
-                grads["Ww"][c] += so.T @ g
-                grads["bw"][c] += g.sum(0)
-                ds[own] += g @ p["Ww"][c].T
+                e *= (-1 / total)[:, None]
+                e[i, j] += 1
+                grads["Ww"][c] += so.T @ e
+                grads["bw"][c] += e.sum(0)
+                ds[a:b] += e @ p["Ww"][c].T
+        live = live[order]
         if grads is None:
             return out, live
         full = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
         full[live] = ds
         return out, live, full.reshape(states.shape)
 
-    def backward(self, inputs, start, held, ds, grads) -> None:
+    def backward(self, inputs, start, states, held, ds, grads) -> None:
         """Truncated backpropagation: gradients stop at the window's first state and at document starts."""
         p, H = self.p, HIDDEN
         T, B = inputs.shape
-        dx = np.empty((T, B, 3 * H), np.float32)
-        dh = np.zeros((B, H), np.float32)
+        h, z, r, an = held
+        # states = n + z * (h - n); n is had back from the gate's other side where z is not one, else its factor is 0.
+        open_ = 1 - z
+        n = (states - z * h) / np.maximum(open_, 1e-6)
+        np.clip(n, -1, 1, out=n)
+        to_n = open_ * (1 - n * n)
+        to_z = (h - n) * z * open_
+        to_r = an * r * (1 - r)
+        da = np.empty((T, B, 3 * H), states.dtype)
+        dn = np.empty((T, B, H), states.dtype)
+        dh = np.zeros((B, H), states.dtype)
+        back = np.ascontiguousarray(p["U"].T)
+        fresh = start.any(1)
         for t in range(T - 1, -1, -1):
-            h, an, z, r, n = held[t]
-            dh = dh + ds[t]
-            dz = dh * (h - n) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], 1)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            grads["U"] += h.T @ da
-            dh = (dh * z + da @ p["U"].T) * ~start[t][:, None]
-        flat = dx.reshape(-1, 3 * H)
+            dh += ds[t]
+            d = da[t]
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dh, to_z[t], out=d[:, :H])
+            np.multiply(dn[t], to_r[t], out=d[:, H : 2 * H])
+            np.multiply(dn[t], r[t], out=d[:, 2 * H :])
+            dh *= z[t]
+            dh += d @ back
+            if fresh[t]:
+                dh *= ~start[t][:, None]
+        flat = da.reshape(-1, 3 * H)
+        grads["U"] += h.reshape(-1, H).T @ flat
+        flat[:, 2 * H :] = dn.reshape(-1, H)
         grads["b"] += flat.sum(0)
         i = inputs.ravel()
-        order = np.argsort(i, kind="stable")
+        order = np.argsort(i.astype(np.uint16), kind="stable")
         i = i[order]
         edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
         grads["E"][i[edge]] += np.add.reduceat(flat[order], edge, axis=0)
@@ -268,7 +311,7 @@ class Trainer:
             grads = unpack(flat)
             states, h, held = net.run(x, start, h[: k.shape[1]], True)
             out, live, ds = net.log_probs(states, k, grads)
-            net.backward(x, start, held, ds, grads)
+            net.backward(x, start, states, held, ds, grads)
             self.seen += len(live)
             flat /= max(len(live), LANES)
             self.step += 1
@@ -320,9 +363,9 @@ def _counted(c: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
 
-def _batches(texts: list[str | None], v: Vocabulary):
-    for s, e in tokens.groups(texts, 4_000_000):
-        yield s, e, [v.encode(t) for t in texts[s:e]]
+def _batches(texts: list[str | None], v: Vocabulary, tail: list | None = None, most_chars: int = 4_000_000):
+    for s, e in tokens.groups(texts, most_chars):
+        yield s, e, [v.encode(t, tail) for t in texts[s:e]]
 
 
 def _train(share, flat: np.ndarray, rate: float):
@@ -350,20 +393,20 @@ def _score_rows(share, flat: np.ndarray):
         net = Network(flat, v)
         for b in batches:
             texts = b.column(2).to_pylist()
-            for s, e, docs in _batches(texts, v):
+            tail: list = []
+            # Many texts at a time: a very long one then runs beside enough others to fill the lanes.
+            for s, e, docs in _batches(texts, v, tail, 24_000_000):
                 got = score(net, docs)
-                base, known, tail = [], [], []
-                for t, d in zip(texts[s:e], docs):
+                base, known = [], []
+                for d in docs:
                     near = d[d < COMMON]
                     base.append(float(v.base[near].sum()))
                     known.append(int(v.known[near].sum()))
-                    far = np.flatnonzero(d >= COMMON)
-                    w = words(t) if len(far) else []
-                    tail.append([w[i].decode("utf-8", "replace") for i in far.tolist()])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[s:e], b.column(1)[s:e], pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(got), pa.array(tail, pa.list_(pa.string()))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
                 )
+                tail.clear()
 
     return run
 

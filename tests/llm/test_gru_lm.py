@@ -45,7 +45,7 @@ def test_gradients():
     for k, x, start, _ in net.windows(codes, owner, 100):
         s, h, held = net.run(x, start, h, True)
         _, _, ds = net.log_probs(s, k, grads)
-        net.backward(x, start, held, ds, grads)
+        net.backward(x, start, s, held, ds, grads)
     for i in r.choice(np.flatnonzero(np.abs(flat_g) > 1e-2), 15, replace=False):
         up, down = flat.copy(), flat.copy()
         up[i] += 1e-3
