@@ -15,10 +15,18 @@ from ..functions.text import analyze
 K1, B = 1.2, 0.75
 
 
+_known: dict[tuple[str, str], list[str]] = {}
+
+
 def query_tokens(spark: SparkSession, text: str, analyzer: str) -> list[str]:
     """The tokens of a query text by the field's own analyzer. Folded on the driver as a local relation: no job."""
-    one = spark.sql("SELECT t FROM VALUES (:q) AS v(t)", args={"q": text})
-    return list(one.select(analyze(F.col("t"), analyzer).alias("x")).first()["x"] or [])
+    key = (text, analyzer)
+    if key not in _known:
+        if len(_known) >= 1000:
+            _known.clear()
+        one = spark.sql("SELECT t FROM VALUES (:q) AS v(t)", args={"q": text})
+        _known[key] = list(one.select(analyze(F.col("t"), analyzer).alias("x")).first()["x"] or [])
+    return list(_known[key])
 
 
 def near(token: Column, term: str, edits: int) -> Column:

@@ -134,8 +134,14 @@ class Compiler:
         if isinstance(node, N.Hamming):
             return self.distance(node) <= min(node.max_distance, 64)
         if isinstance(node, (N.Match, N.Phrase, N.Fuzzy)):
-            self.schema.need(node.field, "match")
-            return F.col(node.field).isNotNull()
+            spec = self.schema.need(node.field, "match")
+            c = F.col(node.field)
+            if spec.analyzer != "whitespace_lower" or isinstance(node, N.Fuzzy):
+                return c.isNotNull()
+            # A word is a piece of the lower-cased text: looking for it there is far cheaper than cutting the text up.
+            held = [F.lower(c).contains(t) for t, _ in dict.fromkeys(self.wanted(node))]
+            some = isinstance(node, N.Match) and node.op == "or"
+            return reduce(lambda a, b: (a | b) if some else (a & b), held) if held else F.lit(False)
         if isinstance(node, N.Not):
             p = self.predicate(node.clause)
             return None if p is None else ~F.coalesce(p, F.lit(False))
