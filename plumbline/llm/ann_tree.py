@@ -8,9 +8,9 @@ are widened until the leaves visited hold `target` of them. Inner products becom
 sqrt(M^2 - |x|^2) with M the largest norm, so that the nearest centre means the largest product.
 
 Equal vectors are one entry of the index with their k+1 smallest ids (more can't be asked for), so copies, however
-many, cost one comparison. Entries and queries of a leaf are packed into bounded blocks (`BLOCK` rows); blocks meet
-in a join on the leaf, scores are matrix products in double precision, and each task keeps only the best of each
-query before anything is shuffled.
+many, cost one comparison. Entries of a leaf are packed into bounded blocks (`BLOCK` rows), queries into packs for each
+leaf as they are routed; blocks and packs meet in a join on the leaf, scores are matrix products in double precision,
+and each task keeps only the best of each query before anything is shuffled.
 
 Defined cases: vectors that are null, all zero, or hold nulls or non-finite numbers take no part, nor do rows with a
 null id or another length than the first entry has; rows that repeat id and vector count once; with fewer
@@ -119,64 +119,78 @@ def _lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))]
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k best of each row by score, then smaller id."""
-    out = []
-    for row in scores:
-        if len(row) > 4 * k:
-            cut = -np.partition(-row, k - 1)[k - 1]
-            sel = np.flatnonzero(row >= cut)
-        else:
-            sel = np.arange(len(row))
-        sel = sel[np.lexsort((ids[sel], -row[sel]))[:k]]
-        out.append((row[sel], ids[sel]))
-    return out
+def _top(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row id, score) of the k best of each query, ties at the last place included."""
+    if scores.shape[1] > k:
+        cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero(scores >= cut)
+        return qids[i], ids[j], scores[i, j]
+    return np.repeat(qids, len(ids)), np.tile(ids, len(qids)), scores.ravel()
 
 
 _BEST = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
 
 
-def _held(best: dict):
-    q = np.repeat(np.array(list(best), np.int64), [len(s) for s, _ in best.values()])
-    s = np.concatenate([s for s, _ in best.values()]) if best else np.empty(0)
-    c = np.concatenate([i for _, i in best.values()]) if best else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], schema=_BEST)
+class _Best:
+    """The k best hits of each query so far, by score and then smaller id; hits wait until enough have come."""
 
+    def __init__(self, k: int, most: int = 1_000_000):
+        self.k, self.most, self.parts, self.size = k, most, [], 0
 
-def _merge(best: dict, qids, tops, k: int) -> None:
-    for q, (s, i) in zip(qids, tops):
-        if q in best:
-            s, i = np.r_[best[q][0], s], np.r_[best[q][1], i]
-            o = np.lexsort((i, -s))[:k]
-            s, i = s[o], i[o]
-        best[q] = (s, i)
+    def add(self, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.parts.append(hits)
+        self.size += len(hits[0])
+        if self.size > self.most:
+            self.reduce()
+            self.most = max(self.most, 2 * self.size)
+
+    def reduce(self) -> None:
+        if self.parts:
+            q, c, s = (np.concatenate(x) for x in zip(*self.parts))
+            o = np.lexsort((c, -s, q))
+            q, c, s = q[o], c[o], s[o]
+            edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            rank = np.arange(len(q)) - np.repeat(edge, np.diff(np.r_[edge, len(q)]))
+            own = rank < self.k
+            self.parts, self.size = [(q[own], c[own], s[own])], int(own.sum())
+
+    def batch(self) -> pa.RecordBatch:
+        self.reduce()
+        cols = self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_BEST)
 
 
 def _exact(qids: np.ndarray, q: np.ndarray, k: int):
     """All rows against a bounded set of queries: the best of each query per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        best = _Best(k)
         for b in batches:
             if len(b):
                 ids, x = b.column(0).to_numpy(), _matrix(b.column(1), q.shape[1])
-                _merge(best, qids.tolist(), _top(q @ x.T, ids, k), k)
-        yield _held(best)
+                best.add(_top(q @ x.T, qids, ids, k))
+        yield best.batch()
 
     return run
 
 
-def _score_blocks(dim: int, k: int, most_held: int = 20_000):
+def _score_blocks(dim: int, k: int, most_held: int = 400_000):
+    """Rows (query ids, query matrix, row ids, row matrix) to the best hits of each query in the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        best = _Best(k)
         for b in batches:
-            for qi, qm, ids, xm in zip(*[c.to_pylist() for c in b.columns]):
-                q, x = np.array(qm, np.float64).reshape(-1, dim), np.array(xm, np.float64).reshape(-1, dim)
-                _merge(best, qi, _top(q @ x.T, np.array(ids, np.int64), k), k)
-            if len(best) > most_held:
-                yield _held(best)
-                best = {}
-        yield _held(best)
+            cells = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in b.columns]
+            for i in range(len(b)):
+                qi, qm, ids, xm = (v[o[i] : o[i + 1]] for o, v in cells)
+                q, x = qm.astype(np.float64).reshape(-1, dim), xm.astype(np.float64).reshape(-1, dim)
+                best.add(_top(q @ x.T, qi, ids, k))
+            if best.size > most_held:
+                best.reduce()
+                if best.size > most_held:
+                    yield best.batch()
+        yield best.batch()
 
     return run
 
@@ -191,15 +205,30 @@ def _assign(tree: Tree, top: float, dim: int):
     return run
 
 
-def _route(tree: Tree, visits: int, dim: int):
+def _route(tree: Tree, visits: int, dim: int, most_bytes: int = 48_000_000):
+    """Queries to packs (leaf, query ids, matrix) for the leaves that each visits; some queries at a time, so that the
+    copies of their vectors stay within `most_bytes`."""
+    some = max(1, most_bytes // (8 * dim * visits))
+
+    def packs(ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        bins = [tree.best_bins(x, visits) for x in np.c_[q, np.zeros(len(q))]]
+        src = np.repeat(np.arange(len(q)), [len(x) for x in bins])
+        leaf = np.array([y for x in bins for y in x], np.int32)
+        o = np.argsort(leaf, kind="stable")
+        src, leaf = src[o], leaf[o]
+        first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+        edge = np.unique(np.concatenate([np.arange(a, e, BLOCK) for a, e in zip(first, np.r_[first[1:], len(leaf)])]))
+        ends = np.r_[edge, len(leaf)].astype(np.int32)
+        qi = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[src]))
+        qm = pa.ListArray.from_arrays(pa.array(ends * dim), pa.array(q[src].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(leaf[edge]), qi, qm], ["leaf", "qi", "qm"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                q = np.c_[_matrix(b.column(1), dim), np.zeros(len(b))]
-                bins = [tree.best_bins(x, visits) for x in q]
-                src = np.repeat(np.arange(len(b)), [len(x) for x in bins])
-                leaf = np.array([y for x in bins for y in x], np.int32)
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(src)) for c in b.columns] + [pa.array(leaf)], ["cid", "vec", "leaf"])
+                ids, q = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+                for k in range(0, len(b), some):
+                    yield packs(ids[k : k + some], q[k : k + some])
 
     return run
 
@@ -265,8 +294,8 @@ def search(table: DataFrame, k: int = 20, queries=None, target: float = 0.97, ve
     depth = np.sort([walk[r["qid"]][r["leaf"]] for r in true])
     visits = int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))) - 1)]) + 1 if len(depth) else 1
 
-    routed = q.mapInArrow(_route(tree, visits, dim), f"cid long, vec {kind}, leaf int")
-    met = _packed(routed, ("qi", "qm")).join(_packed(leaves, ("ids", "xm")), "leaf").select("qi", "qm", "ids", "xm")
+    routed = q.mapInArrow(_route(tree, visits, dim), "leaf int, qi array<long>, qm array<double>")
+    met = routed.join(_packed(leaves, ("ids", "xm")), "leaf").select("qi", "qm", "ids", "xm")
     found = met.mapInArrow(_score_blocks(dim, k + 1), "qid long, cid long, score double")
     found = found.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
     named = found.join(entries.select("cid", "ids"), "cid")
