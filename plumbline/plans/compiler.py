@@ -165,7 +165,7 @@ class Compiler:
         if p is not None:
             return F.when(p, F.lit(1.0))
         if isinstance(node, N.Ids):
-            return self.long_ids(node)
+            return self.long_ids(node, top)
         if isinstance(node, N.And):
             return self.conjunction(node, top)
         if isinstance(node, N.Or):
@@ -180,13 +180,13 @@ class Compiler:
             d = self.distance(node)
             return F.when(d <= min(node.max_distance, 64), (64 - d) / 64.0)
         if isinstance(node, N.Knn):
-            return self.nearest(node, self.base)
+            return self.nearest(node, self.base, top)
         if isinstance(node, N.Duplicated):
-            return self.duplicated(node)
+            return self.duplicated(node, top)
         if isinstance(node, N.HasChild):
-            return self.child_flag(node)
+            return self.only_with(node, "left_semi") if top else self.child_flag(node)
         if isinstance(node, N.Rrf):
-            return self.fused(node)
+            return self.fused(node, top)
         raise QueryError("bad_request", f"cannot run {type(node).__name__}")
 
     def conjunction(self, node: N.And, top: bool) -> Column:
@@ -207,7 +207,7 @@ class Compiler:
                 self.rows = self.rows.withColumn(gate, parts[0])
                 parts = [F.col(gate)]
                 allowed = self.rows.where(F.col(gate).isNotNull())
-            parts += [self.nearest(c, allowed) for c in near]
+            parts += [self.nearest(c, allowed, top) for c in near]
         return lexical.add_up(parts, every=True)
 
     def apart(self, node: N.Node) -> DataFrame:
@@ -217,14 +217,11 @@ class Compiler:
     def sum_of_all(self, clauses: list[N.Node], top: bool) -> Column:
         parts = []
         for c in clauses:
-            child = c.clause if isinstance(c, N.Not) else c
-            if top and isinstance(child, N.HasChild):
-                keys = self.child_keys(child)
-                how = "left_anti" if isinstance(c, N.Not) else "left_semi"
-                self.rows = self.rows.join(keys, self.rows["external_id"] == keys[keys.columns[0]], how)
-                parts.append(F.lit(1.0))
+            if top and isinstance(c, N.Not) and isinstance(c.clause, N.HasChild):
+                parts.append(self.only_with(c.clause, "left_anti"))
             else:
-                inside = isinstance(c, N.And) and not any(isinstance(x, N.Knn) for x in c.clauses)
+                # A kNN further down must see what its own `and` allows, not what this one does.
+                inside = not (isinstance(c, N.And) and any(isinstance(x, N.Knn) for x in c.clauses))
                 parts.append(self.column(c, top=top and inside))
         # With nothing but negations the sum starts from the universe, which scores 1 itself.
         if all(isinstance(c, N.Not) for c in clauses):
@@ -296,15 +293,16 @@ class Compiler:
         self.schema.need(node.field, "hamming")
         return values.hamming(values.hash_bits(F.col(node.field)), values.hash_literal(node.hash))
 
-    def attach(self, found: DataFrame, few: bool, on: str = "external_id") -> Column:
-        """The score of (key, score) rows for each row; `few` where their number has a proven bound."""
+    def attach(self, found: DataFrame, few: bool, top: bool, on: str = "external_id") -> Column:
+        """The score of (key, score) rows for each row; `few` where their number has a proven bound. Rows without one
+        go where every hit must have it."""
         key, score = self.name(), self.name()
         side = found.select(F.col(found.columns[0]).alias(key), F.col(found.columns[1]).alias(score))
         side = F.broadcast(side) if few else side
-        self.rows = self.rows.join(side, self.rows[on] == F.col(key), "left").drop(key)
+        self.rows = self.rows.join(side, self.rows[on] == F.col(key), "inner" if top else "left").drop(key)
         return F.col(score)
 
-    def nearest(self, node: N.Knn, allowed: DataFrame) -> Column:
+    def nearest(self, node: N.Knn, allowed: DataFrame, top: bool) -> Column:
         spec = self.schema.need(node.field, "nearest")
         vector = nearest.check(node.vector, spec.dim)
         if not node.k:
@@ -314,18 +312,18 @@ class Compiler:
 
             allowed = quantize(allowed, node.field, node.field)
         found = nearest.top_k(allowed, node.field, vector, spec.metric, node.k, self.digits)
-        return self.attach(found, few=True)  # k rows, MAX_K at most
+        return self.attach(found, few=True, top=top)  # k rows, MAX_K at most
 
-    def long_ids(self, node: N.Ids) -> Column:
+    def long_ids(self, node: N.Ids, top: bool) -> Column:
         ids = self.base.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(node.values)], "id string")
-        return self.attach(ids.withColumn("s", F.lit(1.0)), few=False)
+        return self.attach(ids.withColumn("s", F.lit(1.0)), few=False, top=top)
 
-    def duplicated(self, node: N.Duplicated) -> Column:
+    def duplicated(self, node: N.Duplicated, top: bool) -> Column:
         shared = groups.shared_values(self.corpus, self.schema, node.field, node.min_group_size)
         if self.schema[node.field].stored != "set":
-            return self.attach(shared.select("value", F.lit(1.0).alias("s")), few=False, on=node.field)
+            return self.attach(shared.select("value", F.lit(1.0).alias("s")), few=False, top=top, on=node.field)
         held = groups.values_of(self.corpus, self.schema, node.field).join(shared, "value", "left_semi")
-        return self.attach(held.select("external_id").distinct().withColumn("s", F.lit(1.0)), few=False)
+        return self.attach(held.select("external_id").distinct().withColumn("s", F.lit(1.0)), few=False, top=top)
 
     def child_keys(self, node: N.HasChild) -> DataFrame:
         """The parent ids that matching children name, repeats kept."""
@@ -335,10 +333,16 @@ class Compiler:
         hits = Compiler(rows, schema, self.children).scored(node.query)
         return hits.where(F.col(node.field).isNotNull()).select(F.col(node.field).alias(self.name()))
 
+    def only_with(self, node: N.HasChild, how: str) -> Column:
+        """Keeps the rows with (or without) such a child, which then score alike; repeats of a key cost nothing."""
+        keys = self.child_keys(node)
+        self.rows = self.rows.join(keys, self.rows["external_id"] == keys[keys.columns[0]], how)
+        return F.lit(1.0)
+
     def child_flag(self, node: N.HasChild) -> Column:
-        return self.attach(self.child_keys(node).distinct().withColumn("s", F.lit(1.0)), few=False)
+        return self.attach(self.child_keys(node).distinct().withColumn("s", F.lit(1.0)), few=False, top=False)
 
-    def fused(self, node: N.Rrf) -> Column:
+    def fused(self, node: N.Rrf, top: bool) -> Column:
         if not node.queries:
             return _none()
         ranked, few = [], True
@@ -347,4 +351,4 @@ class Compiler:
             bounded = isinstance(q, N.Knn)
             few = few and bounded
             ranked.append(fusion.rank_few(leg) if bounded else fusion.rank_many(leg))
-        return self.attach(fusion.fuse(ranked, node.k), few=few)
+        return self.attach(fusion.fuse(ranked, node.k), few=few, top=top)
