@@ -125,7 +125,7 @@ def without_repeats(changes: DataFrame, seconds: int = REMEMBER_SECONDS) -> Data
 
 
 def fold(state: DataFrame, changes: DataFrame, schema: CollectionSchema) -> DataFrame:
-    """The next state. Bounded by one shuffle of the changed documents and one join with the state."""
+    """The next state: one aggregation of the changes by document, and one join with the state."""
     names = list(schema.fields)
     emptied = changes.where(F.col("op") == "truncate").agg(F.max("seq"))
     after = F.coalesce(emptied.scalar(), F.lit(-(2**62)))
@@ -134,44 +134,38 @@ def fold(state: DataFrame, changes: DataFrame, schema: CollectionSchema) -> Data
     recent = recent.where(F.col("op") != "unindex").join(cleared, "external_id", "left")
     recent = recent.where(F.col("__u").isNull() | (F.col("seq") > F.col("__u"))).drop("__u")
     old = state.withColumn("__t", after).where(F.col("__t") == -(2**62)).drop("__t").join(cleared, "external_id", "left_anti")
-    # Stored versions decide which versioned writes count at all.
-    stored = old.select("external_id", F.col("doc_version").alias("__dv"), F.col("cell_versions").alias("__cv"))
-    known = recent.join(stored, "external_id", "left")
     op, seq, version = F.col("op"), F.col("seq"), F.col("version")
     whole = (op == "replace") | ((op == "delete") & (F.size(F.coalesce("items", F.array().cast("array<string>"))) == 0))
-    counts = version.isNull() | F.col("__dv").isNull() | (version > F.col("__dv"))
     content = F.struct(*[F.when(op == "replace", F.col(f"fields.`{n}`")).alias(n) for n in names])
-    put = F.struct(seq.alias("seq"), content.alias("doc"))
+    put = F.struct(seq.alias("seq"), version.alias("version"), content.alias("doc"))
     aggs = [
-        F.max_by(put, F.when((op == "replace") & version.isNotNull() & counts, F.struct(version, -seq))).alias("__rv"),
+        F.max_by(put, F.when((op == "replace") & version.isNotNull(), F.struct(version, -seq))).alias("__rv"),
         F.max_by(put, F.when(whole & ((op == "delete") | version.isNull()), seq)).alias("__ru"),
-        F.max(F.when((op == "replace") & counts, version)).alias("__nv"),
     ]
     for i, n in enumerate(names):
         touches = F.array_contains("items", n)
-        own = F.col(f"__cv.`{n}`")
         merge = (op == "merge") & touches
-        cell = F.struct(seq.alias("seq"), F.when(op == "merge", F.col(f"fields.`{n}`")).alias("v"))
-        fresh = version.isNotNull() & (own.isNull() | (version > own))
+        cell = F.struct(seq.alias("seq"), version.alias("version"), F.when(op == "merge", F.col(f"fields.`{n}`")).alias("v"))
         aggs += [
-            F.max_by(cell, F.when(merge & fresh, F.struct(version, -seq))).alias(f"__a{i}"),
+            F.max_by(cell, F.when(merge & version.isNotNull(), F.struct(version, -seq))).alias(f"__a{i}"),
             F.max_by(cell, F.when((merge & version.isNull()) | ((op == "delete") & touches), seq)).alias(f"__b{i}"),
-            F.max(F.when(merge & fresh, version)).alias(f"__n{i}"),
         ]
-    done = known.groupBy("external_id").agg(*aggs)
+    both = old.join(recent.groupBy("external_id").agg(*aggs), "external_id", "full_outer")
+    # The largest incoming version is not above the stored one: then no versioned write counts.
+    fresh = lambda c, stored: F.when(stored.isNull() | (c["version"] > stored), c)
     # The later of two candidates; max of structs would compare values, so the order is the seq alone.
     later = lambda a, b: F.when(a.isNull() | (b["seq"] > a["seq"]), F.coalesce(b, a)).otherwise(a)
-    done = done.withColumn("__wipe", later(F.col("__rv"), F.col("__ru")))
-    both = old.join(done, "external_id", "full_outer")
-    cells = []
+    both = both.withColumn("__rv", fresh(F.col("__rv"), F.col("doc_version"))).withColumn("__wipe", later(F.col("__rv"), F.col("__ru")))
+    wipe, cells, versions = F.col("__wipe"), [], []
     for i, n in enumerate(names):
-        last = later(F.col(f"__a{i}"), F.col(f"__b{i}"))
-        wipe = F.col("__wipe")
+        own = F.col(f"cell_versions.`{n}`")
+        top = fresh(F.col(f"__a{i}"), own)
+        last = later(top, F.col(f"__b{i}"))
         base = F.when(wipe.isNotNull(), F.col(f"__wipe.doc.`{n}`")).otherwise(F.col(f"`{n}`"))
         newer = last.isNotNull() & (wipe.isNull() | (last["seq"] > wipe["seq"]))
         cells.append(F.when(newer, last["v"]).otherwise(base).alias(n))
-    versions = F.struct(*[F.coalesce(F.col(f"__n{i}"), F.col(f"cell_versions.`{n}`")).alias(n) for i, n in enumerate(names)])
-    out = both.select("external_id", *cells, F.coalesce("__nv", "doc_version").alias("doc_version"), versions.alias("cell_versions"))
+        versions.append(F.coalesce(top["version"], own).alias(n))
+    out = both.select("external_id", *cells, F.coalesce(F.col("__rv.version"), F.col("doc_version")).alias("doc_version"), F.struct(*versions).alias("cell_versions"))
     some = F.col("doc_version").isNotNull()
     for n in names:
         some = some | F.col(f"`{n}`").isNotNull() | F.col(f"cell_versions.`{n}`").isNotNull()
