@@ -208,9 +208,8 @@ def links(fps: DataFrame) -> DataFrame:
     return plain.unionByName(far).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_text: bool = True) -> DataFrame:
-    """docs with `__s_fp`, and in `__s_component` the smallest doc_id reachable over links."""
-    marked = common.materialize(add_fingerprints(docs, text, drop_text), "fingerprints")
+def label(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Rows with `__s_fp`, and in `__s_component` the smallest doc_id reachable over links."""
     classes = common.materialize(marked.groupBy(P + "fp").agg(F.min(doc_id).alias("rep")).withColumnRenamed(P + "fp", "fp"), "classes")
     roots = graph.components(links(classes.select("fp")))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
@@ -220,17 +219,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(linked, P + "fp")
 
 
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_text: bool = True) -> DataFrame:
+    """docs with `__s_fp` and `__s_component`."""
+    return label(common.materialize(add_fingerprints(docs, text, drop_text), "fingerprints"), doc_id)
+
+
 def simhash_query(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs.select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex(P + "fp"), 16, "0")).alias("fingerprint"), F.col(P + "component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group: the one with the smallest doc_id. Null ids count as larger than any id."""
+    """One row of each group: the one with the smallest doc_id. Null ids count as larger than any id.
+
+    Rows are chosen without their texts; those are moved once, to the choice."""
     none = F.lit(2**63 - 1)
     own = docs.withColumn(P + "row", F.monotonically_increasing_id()).withColumn(P + "id", F.coalesce(F.col("doc_id"), none))
-    out = near_duplicates(own, doc_id=P + "id", drop_text=False)
-    keep = out.where(F.col(P + "id") == F.col(P + "component"))
+    marked = common.materialize(add_fingerprints(own), "fingerprints")
+    lean = label(marked.select(P + "row", P + "id", P + "fp"), P + "id")
     # Rows that repeat the id of the one that stays: the first row stays.
-    first = keep.groupBy(P + "id").agg(F.min(P + "row").alias(P + "row"))
-    return keep.join(first, [P + "id", P + "row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = lean.where(F.col(P + "id") == F.col(P + "component")).groupBy(P + "id").agg(F.min(P + "row").alias(P + "row"))
+    return marked.join(keep.select(P + "row"), P + "row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
