@@ -24,8 +24,8 @@ import numpy as np
 
 MAGIC = b"PLID"
 VERSION = 1
-BLOCK = 1 << 20
-LANES, LANE_IDS = 2048, 256
+BLOCK = 1 << 21
+LANES, LANE_IDS = 4096, 256
 HASH_BITS = 18
 #: Order 0: what an id's count grows by, and the sum of counts at which all are halved.
 STEP, MOST = 24, 1 << 22
@@ -42,6 +42,10 @@ def _lanes(n: int) -> int:
     return max(1, min(LANES, n // LANE_IDS))
 
 
+#: Trust after a miss (first four) and after a hit, by the trust before.
+_TRUST = np.array([0, 0, 1, 1, 1, 2, 3, 3])
+
+
 class _Model:
     """What encoder and decoder know alike at a step: predictions, their trust, and order-0 frequencies."""
 
@@ -79,12 +83,11 @@ class _Model:
         k = len(ids)
         hit2 = two == ids
         hit1 = one == ids
-        kind = np.where(hit2, 0, np.where(hit1, 1, 2))
+        kind = 2 - 2 * hit2 - (hit1 & ~hit2)
         self.right += np.bincount(at * 3 + kind, minlength=96).reshape(32, 3)
         # A wrong prediction loses trust first and its place only when it has none left.
         for table, where, guess, hit, trust in ((self.two, slot, two, hit2, at >> 2 & 3), (self.one, self.last[:k], one, hit1, at & 3)):
-            keep = hit | (trust > 1)
-            table[where] = np.where(keep, guess, ids) << 2 | np.where(hit, np.minimum(trust + 1, 3), trust >> 1)
+            table[where] = np.where(hit | (trust > 1), guess, ids) << 2 | _TRUST[trust + 4 * hit]
         np.add.at(self.count, ids, STEP)
         self.before[:k] = self.last[:k]
         self.last[:k] = ids

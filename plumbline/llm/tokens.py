@@ -14,6 +14,21 @@ import re
 import numpy as np
 
 GAP = "\n\n"
+#: Letters with punctuation behind them: two pieces of the pre-tokenizer at most, whatever the words are. Single line
+#: ends between such parts are pieces of their own.
+_PART = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+_PLAIN = re.compile(f"{_PART.pattern}(?:\n{_PART.pattern})*")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: visible Latin-1 characters for themselves, the
+    others for the next code points from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+_SIGNS = _byte_signs()
 #: White space other than the space and the line end.
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CACHE = 1_000_000
@@ -31,16 +46,62 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # The same model without its pre-tokenizer, for pieces that are cut here.
+        self.line = _SIGNS[10]
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(self.line, "isolated")
+        self.line_id = self.tokenizer.token_to_id(self.line)
+        self.line_raw = int(self.line_id or 0).to_bytes(4, "little")
+        self.ends: dict[str, bytes] = {"": b""}
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         gap, a = one(GAP), one(" a")
         self.gap = gap[0] if len(gap) == 1 and one(GAP.join([" a"] * 3)) == [*a, *gap, *a, *gap, *a] else None
 
-    def _fill(self, parts: list[str], into: dict[str, bytes]) -> None:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces in byte signs, each by itself: joined by line ends, which are pieces of their own."""
+        ids = np.array(self.bare.encode_batch_fast([self.line.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        at = 4 * np.flatnonzero(ids == self.line_id)
+        raw = ids.tobytes()
+        return [raw[s:e] for s, e in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
+
+    def _fill(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Ids of words behind a space. Plain ones are cut into their pieces here, which spares the pre-tokenizer."""
+        plain, letters, ends, rest = [], [], [], []
+        space = _SIGNS[32]
+        for w in words:
+            if self.line_id is None or _PLAIN.fullmatch(w) is None:
+                rest.append(w)
+                continue
+            parts = w.split("\n")
+            plain.append((w, len(parts)))
+            for k, part in enumerate(parts):
+                a, b = _PART.fullmatch(part).groups()
+                a = a if a.isascii() else "".join([_SIGNS[c] for c in a.encode()])
+                letters.append(a if k else space + a)
+                ends.append(b)
+        new = [e for e in set(ends) if e not in self.ends]
+        if new:
+            self.ends.update(zip(new, self._pieces(new)))
+        ids = [x for k in range(0, len(letters), 2048) for x in self._pieces(letters[k : k + 2048])]
+        at = 0
+        for w, n in plain:
+            if n == 1:
+                into[w] = ids[at] + self.ends[ends[at]] if ends[at] else ids[at]
+            else:
+                into[w] = self.line_raw.join([ids[i] + self.ends[ends[i]] for i in range(at, at + n)])
+            at += n
+        if rest:
+            made: dict[str, bytes] = {}
+            self._fill_any([" " + w for w in rest], made)
+            for w in rest:
+                into[w] = made[" " + w]
+
+    def _fill_any(self, parts: list[str], into: dict[str, bytes]) -> None:
         """Parts that are a space and a word without an empty line go to the library in long strings, two line ends between them: those
         are a piece of their own before a space, so the ids fall apart again at their id. Others go one by one."""
         plain, rest = [], []
@@ -78,35 +139,42 @@ class Encoder:
         return parts
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Words of texts with single spaces only are looked up as they are; others are cut first."""
-        known = self.known
-        heads, tails = [], []
+        """Ids of each text. Words of texts with single spaces only are looked up as they are; others are cut first.
+
+        Each word is looked up once; what is not known yet is encoded for all texts together and put in its places."""
+        get = self.known.get
+        heads, rows = [], []
+        fresh: set[str] = set()
         for t in texts:
             t = t or ""
             if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _ODD.search(t):
-                head, *tail = self.cut(t)
-                heads.append(head)
-                tails.append([x[1:] for x in tail])
+                parts = self.cut(t)
+                heads.append(parts[0])
+                words = [x[1:] for x in parts]
             else:
-                head, *tail = t.split(" ")
-                heads.append(head)
-                tails.append(tail)
-        fresh = set().union(*tails) if tails else set()
-        fresh.difference_update(known)
+                words = t.split(" ")
+                heads.append(words[0])
+            found = list(map(get, words))
+            # The head has no space before it, so it is encoded apart.
+            found[0] = b""
+            open_ = [i for i, v in enumerate(found) if v is None]
+            fresh.update([words[i] for i in open_])
+            rows.append((found, words, open_))
         extra: dict[str, bytes] = {}
         if fresh:
-            todo = list(fresh)
-            self._fill([" " + x for x in todo], extra)
-            extra = {x: extra[" " + x] for x in todo}
-            if len(known) + len(extra) <= CACHE:
-                known.update(extra)
-                extra = {}
+            self._fill(list(fresh), extra)
+            if len(self.known) + len(extra) <= CACHE:
+                self.known.update(extra)
         first: dict[str, bytes] = {}
-        self._fill(list(dict.fromkeys(h for h in heads if h)), first)
-        first[""] = b""
-        if not extra:
-            return [b"".join([first[h], *map(known.__getitem__, tail)]) for h, tail in zip(heads, tails)]
-        return [b"".join([first[h], *[known.get(x) or extra[x] for x in tail]]) for h, tail in zip(heads, tails)]
+        self._fill_any(list(dict.fromkeys(h for h in heads if h)), first)
+        out = []
+        for h, (found, words, open_) in zip(heads, rows):
+            for i in open_:
+                found[i] = extra[words[i]]
+            if h:
+                found[0] = first[h]
+            out.append(b"".join(found))
+        return out
 
 
 def encoder(path: str | None = None) -> Encoder:
