@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, graph
+from .near_copies import drop_near_duplicates  # noqa: F401
 
 P = "__s_"
 #: Distinct fingerprints under one key that are compared with each other; larger keys take the exact detour.
@@ -227,16 +228,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def simhash_query(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs.select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex(P + "fp"), 16, "0")).alias("fingerprint"), F.col(P + "component").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group: the one with the smallest doc_id. Null ids count as larger than any id.
-
-    Rows are chosen without their texts; those are moved once, to the choice."""
-    none = F.lit(2**63 - 1)
-    own = docs.withColumn(P + "row", F.monotonically_increasing_id()).withColumn(P + "id", F.coalesce(F.col("doc_id"), none))
-    marked = common.materialize(add_fingerprints(own), "fingerprints")
-    lean = label(marked.select(P + "row", P + "id", P + "fp"), P + "id")
-    # Rows that repeat the id of the one that stays: the first row stays.
-    keep = lean.where(F.col(P + "id") == F.col(P + "component")).groupBy(P + "id").agg(F.min(P + "row").alias(P + "row"))
-    return marked.join(keep.select(P + "row"), P + "row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
