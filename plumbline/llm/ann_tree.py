@@ -13,12 +13,13 @@ leaf as they are routed; blocks and packs meet in a join on the leaf, scores are
 and each task keeps only the best of each query before anything is shuffled.
 
 Defined cases: vectors that are null, all zero, or hold nulls or non-finite numbers take no part, nor do rows with a
-null id or another length than the first entry has; rows that repeat id and vector count once; with fewer
-candidates than asked, all are returned; ties go to the smaller id; an empty table gives no rows.
+null id; vectors of each length are searched among those of the same length, by a tree of their own; rows that repeat id and
+vector count once; with fewer candidates than asked, all are returned; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -265,12 +266,16 @@ def search(table: DataFrame, k: int = 20, queries=None, target: float = 0.97, ve
     asked = (F.pmod(ids, F.lit(20)) == 0) if queries is None else queries
     entries = common.materialize(index_entries(table, k, vec_id, vector), "entries")
     schema = "query_id long, rank int, vec_id long, score double"
-    first = entries.select(F.size("vec").alias("d")).first()
-    if first is None:
+    lengths = sorted(r["d"] for r in entries.select(F.size("vec").alias("d")).distinct().collect())
+    if not lengths:
         return spark.createDataFrame([], schema)
-    dim = first["d"]
-    entries = entries.where(F.size("vec") == dim)
     rows = table.where(asked & ids.isNotNull()).select(ids.alias("query_id"), F.unhex(F.md5(F.col(vector).cast("string"))).alias("ekey")).distinct()
+    found = [_search_length(entries.where(F.size("vec") == dim) if len(lengths) > 1 else entries, rows, dim, k, target) for dim in lengths]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _search_length(entries: DataFrame, rows: DataFrame, dim: int, k: int, target: float) -> DataFrame:
+    """The search among entries of one length; rows are queries (query_id, ekey), those of other lengths are passed over."""
     rows = common.materialize(rows.join(entries.select("ekey", "cid"), "ekey").select("query_id", "cid"), "queries")
     q = common.materialize(entries.join(rows.select("cid").distinct(), "cid").select("cid", "vec"), "query_vectors")
 

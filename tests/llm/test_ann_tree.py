@@ -43,3 +43,11 @@ def test_small_and_empty(spark):
     got = sorted(tuple(r) for r in ann_tree.ann_query(df).collect())
     assert got == [(0, 1, 20, 5.0), (0, 2, 1, 4.0), (20, 1, 0, 5.0), (20, 2, 1, 4.0)]
     assert ann_tree.ann_query(df.where("vec_id < 0")).collect() == []
+
+
+def test_each_length_is_searched_apart(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [1.0, 2.0, 3.0]), (21, [3.0, 2.0, 1.0]), (22, [1.0, 1.0, 1.0]), (40, [4.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        got = sorted(tuple(r) for r in ann_tree.ann_query(df).collect())
+        assert got == [(0, 1, 1, 4.0), (20, 1, 21, 10.0), (20, 2, 22, 6.0)]
