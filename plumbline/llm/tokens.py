@@ -49,7 +49,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold an added token go to the library whole: it takes those out before it cuts pieces.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}
         # The same model without its pre-tokenizer, for pieces that are cut here.
         self.line = _SIGNS[10]
@@ -147,6 +149,10 @@ class Encoder:
         fresh: set[str] = set()
         for t in texts:
             t = t or ""
+            if self.added is not None and self.added.search(t):
+                rows.append(([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()], [], []))
+                heads.append("")
+                continue
             if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _ODD.search(t):
                 parts = self.cut(t)
                 heads.append(parts[0])

@@ -26,3 +26,14 @@ def test_beyond_the_memory_of_words(monkeypatch):
     want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert enc.encode_all(texts) == want and enc.encode_all(texts[::-1]) == want[::-1]
     assert len(enc.known) <= 3
+
+
+def test_added_tokens_are_single_ids():
+    """Against the library as it is loaded, not the object that the encoder may have set up."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.default_vocabulary())
+    texts = [*ODD, "a <|endoftext|> b", "x<|endoftext|>\n\n<|endoftext|> y  z", "plain words only", "<|endoftext|"]
+    want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.encoder().encode_all(texts) == want
+    assert 50256 in np.frombuffer(want[len(ODD)], "<u4")
