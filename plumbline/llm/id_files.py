@@ -40,41 +40,43 @@ def _blocks(path: str | None, end_id: int, block: int, id_type: pa.DataType):
         part = TaskContext.get().partitionId()
         enc = tokens.encoder(path)
         vocabulary = max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-        end = int(end_id).to_bytes(4, "little")
         held, size, seq, ids, lens = [], 0, 0, [], []
 
-        def row(raw: bytes) -> pa.RecordBatch:
-            nonlocal seq, ids, lens
-            frame = id_coder.encode(np.frombuffer(raw, "<u4"), vocabulary)
+        def row() -> pa.RecordBatch:
+            nonlocal held, size, seq, ids, lens
+            own = np.concatenate(held) if held else np.empty(0, np.uint32)
+            frame = id_coder.encode(own, vocabulary)
             cols = [
                 pa.array([part], pa.int32()),
                 pa.array([seq], pa.int64()),
-                pa.array([len(raw) // 4], pa.int64()),
+                pa.array([len(own)], pa.int64()),
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([lens], pa.list_(pa.int64())),
                 pa.array([frame], pa.binary()),
             ]
-            seq, ids, lens = seq + 1, [], []
+            held, size, seq, ids, lens = [], 0, seq + 1, [], []
             return pa.RecordBatch.from_arrays(cols, ["part", "seq", "n_ids", "doc_ids", "doc_lens", "frame"])
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keys, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary())
             for s, e in tokens.groups(texts):
-                for key, data in zip(keys[s:e], enc.encode_all(texts[s:e])):
+                flat, edge = enc.encode_flat(texts[s:e].to_pylist())
+                flat = np.insert(flat, edge[1:], end_id)
+                edge += np.arange(len(edge))
+                at = 0  # ids of the group that are in a block already
+                for key, lo, hi in zip(keys[s:e], edge[:-1].tolist(), edge[1:].tolist()):
                     ids.append(key)
-                    lens.append(len(data) // 4 + 1)
-                    data += end
-                    at = 0
-                    while size + len(data) - at >= 4 * block:
-                        cut = at + 4 * block - size
-                        held.append(data[at:cut])
-                        yield row(b"".join(held))
-                        held, size, at = [], 0, cut
-                    if at < len(data):
-                        held.append(data[at:])
-                        size += len(data) - at
+                    lens.append(hi - lo)
+                    while size + hi - at >= block:
+                        cut = at + block - size
+                        held.append(flat[at:cut])
+                        at = cut
+                        yield row()
+                if at < len(flat):
+                    held.append(flat[at:])
+                    size += len(flat) - at
         if size or ids:
-            yield row(b"".join(held))
+            yield row()
 
     return run
 

@@ -114,26 +114,29 @@ _PIECES = "piece int, start long, length long, ids_crc32 long"
 def _piece_rows(id_at: int, text_at: int, path: str | None, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
-        end = int(end_id).to_bytes(4, "little")
         for b in batches:
-            ids, texts = b.column(id_at), b.column(text_at).to_pylist()
+            ids, texts = b.column(id_at), b.column(text_at).cast(pa.binary())
             for s, e in tokens.groups(texts):
                 src, piece, start, size, crc, raw = [], [], [], [], [], []
-                for i, data in enumerate(enc.encode_all(texts[s:e]), s):
-                    data += end
-                    n = len(data) // 4
+                flat, edge = enc.encode_flat(texts[s:e].to_pylist())
+                # The end id behind every text.
+                flat = np.insert(flat, edge[1:], end_id).astype("<u4")
+                edge += np.arange(len(edge))
+                data = memoryview(flat).cast("B")
+                for i, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()), s):
+                    n = hi - lo
                     first = n if n <= length else n % length or length
                     at = 0
                     for k in range(1 + -(-(n - first) // length)):
                         upto = first + k * length
-                        part = data[4 * at : 4 * upto]
+                        part = data[4 * (lo + at) : 4 * (lo + upto)]
                         src.append(i)
                         piece.append(k)
                         start.append(at)
                         size.append(upto - at)
                         crc.append(zlib.crc32(part))
                         if with_ids:
-                            raw.append(part)
+                            raw.append(bytes(part))
                         at = upto
                 cols = [ids.take(pa.array(src, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]

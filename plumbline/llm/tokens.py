@@ -1,23 +1,38 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memory of word ids per worker.
+"""Token ids of texts by the tokenizers library, which is asked once for each different piece.
 
-The vocabulary's pre-tokenizer starts a new piece at every single space that stands between two characters that are
-not white space, whatever comes before, so a text may be cut there and its parts encoded on their own. Most parts
-repeat; each is given to the library once per worker, until `CACHE` parts are known, and then again where needed.
-Ids are kept as little-endian unsigned 32-bit bytes, the form that checksums are taken over.
+A byte-level vocabulary cuts a text into pieces (words with the space before them, numbers, signs, white space) and
+encodes each by itself. The cut depends on character classes only, so it is made here for many texts at once in
+numpy; pieces are hashed and looked up in an open-addressed table, and only pieces that the table lacks go to the
+library, joined into long strings. The class of a character beyond ASCII is asked of the library too, when it is
+first met. Texts that hold an added token, or white space beyond ASCII, and all texts of a vocabulary of another
+kind, are given to the library whole.
+
+Pieces are told apart by 64 bits and their length. The table holds `CACHE` pieces; when it is full it starts anew, so
+a worker's memory is bounded whatever it reads.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-GAP = "\n\n"
-#: Letters with punctuation behind them: two pieces of the pre-tokenizer at most, whatever the words are. Single line
-#: ends between such parts are pieces of their own.
-_PART = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
-_PLAIN = re.compile(f"{_PART.pattern}(?:\n{_PART.pattern})*")
+CACHE = 1 << 20
+#: Text that is cut at once, in bytes; a longer text is a group of its own.
+GROUP = 1 << 19
+_U = np.uint64
+_MUL = 0x9E3779B97F4A7C15
+LETTER, NUMBER, OTHER, SPACE, WHITE, END, UNKNOWN = range(7)
+_held: dict = {}
+_SAFE = re.compile(rb"[A-Za-z](?= [A-Za-z])")
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _byte_signs() -> list[str]:
@@ -28,160 +43,306 @@ def _byte_signs() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
-_SIGNS = _byte_signs()
-#: White space other than the space and the line end.
-_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE = 1_000_000
-_held: dict = {}
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total, dtype=starts.dtype)
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, grown as needed."""
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    def __init__(self):
+        self.up = self.down = np.ones(1, _U)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * _U(pow(_MUL, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * _U(pow(_MUL, -k, 1 << 64))])
+        return self.up[:n], self.down[:n]
+
+
+class Pieces:
+    """Table from a piece's hash to its ids, with room for so many pieces."""
+
+    def __init__(self, room: int):
+        bits = int(2 * room - 1).bit_length()
+        self.room, self.shift, self.mask = room, _U(64 - bits), (1 << bits) - 1
+        self.key = np.zeros(1 << bits, _U)
+        self.entry = np.zeros(1 << bits, np.int32)
+        self.n, self.used = 1, 0  # entry 0 has no ids
+        self.size = np.zeros(room + 1, np.int32)
+        self.at = np.zeros(room + 1, np.int64)
+        self.ids = np.zeros(1 << 20, np.uint32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        slot = self._slot(h)
+        there = self.key[slot]
+        out = np.where(there == h, self.entry[slot], -1)
+        open_ = np.flatnonzero((there != h) & (there != 0))
+        while len(open_):
+            at = (slot[open_] + 1) & self.mask
+            slot[open_] = at
+            there = self.key[at]
+            same = there == h[open_]
+            out[open_[same]] = self.entry[at[same]]
+            open_ = open_[~same & (there != 0)]
+        return out
+
+    def add(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Different hashes that are not there yet, with their ids one behind the other; there must be room."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        own = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.size[own] = sizes
+        self.at[own] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(h), self.used + len(ids)
+        slot = self._slot(h)
+        while len(h):
+            free = self.key[slot] == 0
+            self.key[slot[free]] = h[free]
+            won = free & (self.key[slot] == h)
+            self.entry[slot[won]] = own[won]
+            h, own, slot = h[~won], own[~won], (slot[~won] + 1) & self.mask
 
 
 class Encoder:
-    """encode(text) gives the ids as '<u4' bytes."""
+    """encode_flat(texts) gives ids and where each text's begin; texts are bytes, str or None (empty)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Texts that hold an added token go to the library whole: it takes those out before it cuts pieces.
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, bytes] = {}
-        # The same model without its pre-tokenizer, for pieces that are cut here.
-        self.line = _SIGNS[10]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        kind = json.loads(self.tokenizer.to_str())
+        cut = kind.get("pre_tokenizer") or {}
+        self.signs = _byte_signs()
+        self.line_id = self.tokenizer.token_to_id(self.signs[10])
+        self.by_piece = (
+            kind.get("normalizer") is None
+            and cut.get("type") == "ByteLevel"
+            and cut.get("use_regex", True)
+            and not cut.get("add_prefix_space")
+            and kind["model"].get("type") == "BPE"
+            and not kind["model"].get("dropout")
+            and self.line_id is not None
+        )
+        # The same model without its pre-tokenizer, for pieces that are cut here; they hold no blanks in byte signs.
         self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Split(self.line, "isolated")
-        self.line_id = self.tokenizer.token_to_id(self.line)
-        self.line_raw = int(self.line_id or 0).to_bytes(4, "little")
-        self.ends: dict[str, bytes] = {"": b""}
-        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        gap, a = one(GAP), one(" a")
-        self.gap = gap[0] if len(gap) == 1 and one(GAP.join([" a"] * 3)) == [*a, *gap, *a, *gap, *a] else None
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces in byte signs, each by itself: joined by line ends, which are pieces of their own."""
-        ids = np.array(self.bare.encode_batch_fast([self.line.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        at = 4 * np.flatnonzero(ids == self.line_id)
-        raw = ids.tobytes()
-        return [raw[s:e] for s, e in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
-
-    def _fill(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Ids of words behind a space. Plain ones are cut into their pieces here, which spares the pre-tokenizer."""
-        plain, letters, ends, rest = [], [], [], []
-        space = _SIGNS[32]
-        for w in words:
-            if self.line_id is None or _PLAIN.fullmatch(w) is None:
-                rest.append(w)
-                continue
-            parts = w.split("\n")
-            plain.append((w, len(parts)))
-            for k, part in enumerate(parts):
-                a, b = _PART.fullmatch(part).groups()
-                a = a if a.isascii() else "".join([_SIGNS[c] for c in a.encode()])
-                letters.append(a if k else space + a)
-                ends.append(b)
-        new = [e for e in set(ends) if e not in self.ends]
-        if new:
-            self.ends.update(zip(new, self._pieces(new)))
-        ids = [x for k in range(0, len(letters), 2048) for x in self._pieces(letters[k : k + 2048])]
-        at = 0
-        for w, n in plain:
-            if n == 1:
-                into[w] = ids[at] + self.ends[ends[at]] if ends[at] else ids[at]
-            else:
-                into[w] = self.line_raw.join([ids[i] + self.ends[ends[i]] for i in range(at, at + n)])
-            at += n
-        if rest:
-            made: dict[str, bytes] = {}
-            self._fill_any([" " + w for w in rest], made)
-            for w in rest:
-                into[w] = made[" " + w]
-
-    def _fill_any(self, parts: list[str], into: dict[str, bytes]) -> None:
-        """Parts that are a space and a word without an empty line go to the library in long strings, two line ends between them: those
-        are a piece of their own before a space, so the ids fall apart again at their id. Others go one by one."""
-        plain, rest = [], []
-        for p in parts:
-            joins = self.gap is not None and p[0] == " " and len(p) > 1 and GAP not in p and not p[1].isspace() and not p[-1].isspace()
-            (plain if joins else rest).append(p)
-        for k in range(0, len(plain), 2048):
-            some = plain[k : k + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([GAP.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.gap)
-            if len(at) != len(some) - 1:
-                rest += some
-                continue
-            raw = ids.tobytes()
-            for p, s, e in zip(some, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]):
-                into[p] = raw[s:e]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            into[p] = np.array(e.ids, "<u4").tobytes()
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # Pieces are joined by a byte that UTF-8 does not have; a line end stands between them as a piece of its own.
+        self.to_signs = {b: s for b, s in enumerate(self.signs)} | {0xFF: f" {self.signs[10]} "}
+        self.pieces, self.powers = Pieces(CACHE), _Powers()
+        self.byte_class = np.full(256, UNKNOWN, np.uint8)
+        for b in range(128):
+            self.byte_class[b] = self._class_of(chr(b)) if self.by_piece else OTHER
+        self.byte_class[0xFF] = END
+        self.char_class = np.full(0x110000, UNKNOWN, np.uint8)
+
+    def _class_of(self, c: str) -> int:
+        """Which of a letter, a number and a sign makes one piece with the character; white space does with none."""
+        if c == " ":
+            return SPACE
+        for klass, sign in ((LETTER, "x"), (NUMBER, "5"), (OTHER, "!")):
+            if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(sign + c)) == 1:
+                return klass
+        return WHITE
+
+    def _classes(self, buf: np.ndarray) -> np.ndarray:
+        """Class of each byte's character."""
+        out = self.byte_class[buf]
+        lead = np.flatnonzero((buf >= 0xC0) & (buf != 0xFF))
+        if len(lead):
+            first = buf[lead].astype(np.int32)
+            tail = [buf[np.minimum(lead + k, len(buf) - 1)].astype(np.int32) & 63 for k in (1, 2, 3)]
+            size = 2 + (first >= 0xE0) + (first >= 0xF0)
+            two = (first & 31) << 6 | tail[0]
+            three = (first & 15) << 12 | tail[0] << 6 | tail[1]
+            four = (first & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+            point = np.where(size == 2, two, np.where(size == 3, three, four)) & 0x1FFFFF
+            klass = self.char_class[np.minimum(point, 0x10FFFF)]
+            if (klass == UNKNOWN).any():
+                for p in np.unique(point[klass == UNKNOWN]).tolist():
+                    self.char_class[p] = WHITE if 0xD800 <= p < 0xE000 or p > 0x10FFFF else self._class_of(chr(p))
+                klass = self.char_class[np.minimum(point, 0x10FFFF)]
+            for k in range(4):
+                own = size > k
+                out[np.minimum(lead[own] + k, len(buf) - 1)] = klass[own]
+        return out
+
+    def _cut(self, buf: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """Starts of pieces. Texts in buf end with the byte 0xFF, a piece of its own; there is a byte 0xFF in front."""
+        white = (klass == SPACE) | (klass == WHITE)
+        begin = np.empty(len(buf), bool)
+        begin[0] = True
+        begin[1:] = klass[1:] != klass[:-1]
+        # A space goes with what follows it; of a run of white space only the last character may.
+        begin[1:] &= klass[:-1] != SPACE
+        begin |= klass == END
+        w = np.flatnonzero(white)
+        after = w + 1
+        inner = white[w - 1]
+        last = ~white[after] & (klass[after] != END)
+        begin[w] = ~inner | last
+        # Short forms behind an apostrophe that no sign and no space goes with.
+        a = np.flatnonzero(buf == 39)
+        if len(a):
+            a = a[(klass[a - 1] != OTHER) & (klass[a - 1] != SPACE)]
+            a = a[klass[a + 1] == LETTER]
+            x, y = buf[a + 1], buf[a + 2]
+            one = (x == 115) | (x == 116) | (x == 109) | (x == 100)
+            two = ((x == 114) | (x == 118)) & (y == 101) | (x == 108) & (y == 108)
+            for own, n in ((a[one], 2), (a[two], 3)):
+                begin[own + 1] = False
+                goes_on = own + n
+                begin[goes_on[klass[goes_on] == LETTER]] = True
+        return np.flatnonzero(begin)
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, white: np.ndarray) -> None:
+        """Put pieces and their ids by the library into the table."""
+        made: list[np.ndarray] = [np.empty(0, np.uint32)] * len(start)
+        plain = np.flatnonzero(~white)
+        for k in range(0, len(plain), 1 << 15):
+            own = plain[k : k + (1 << 15)]
+            joined = b"\xff".join([raw[s:e] for s, e in zip(start[own].tolist(), end[own].tolist())]).decode("latin-1").translate(self.to_signs)
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            line = np.flatnonzero(ids == self.line_id)
+            for i, s, e in zip(own.tolist(), [0, *(line + 1).tolist()], [*line.tolist(), len(ids)]):
+                made[i] = ids[s:e]
+        for i in np.flatnonzero(white).tolist():
+            made[i] = self._whole(raw[start[i] : end[i]])
+        self.pieces.add(h, np.fromiter(map(len, made), np.int32, len(made)), np.concatenate(made))
+
+    def _group(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all parts, how many each has, which of them must go to the library with their whole text)."""
+        raw = b"\xff" + b"\xff".join(parts) + b"\xff\xff"
+        buf = np.frombuffer(raw, np.uint8)
+        klass = self._classes(buf)
+        odd = np.zeros(len(parts), bool)
+        strange = (klass == UNKNOWN) | ((klass == WHITE) & (buf >= 0x80))
+        if strange.any() or raw.count(b"\xff") != len(parts) + 2:
+            odd[:] = [b"\xff" in p for p in parts]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+            odd[np.searchsorted(np.cumsum(sizes) + 1, np.flatnonzero(strange), "right")] = True
+            some = [b"" if o else p for o, p in zip(odd.tolist(), parts)]
+            ids, counts, _ = self._group(some)
+            return ids, counts, odd
+        start = self._cut(buf, klass)
+        n = len(buf)
+        up, down = self.powers.upto(n + 1)
+        total = np.empty(n + 1, _U)
+        total[0] = 0
+        np.cumsum((buf.astype(_U) + _U(1)) * up[:n], out=total[1:])
+        end = np.append(start[1:], n)
+        h = (total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(32)
+        h *= _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(29)
+        h |= _U(1)  # zero marks a free slot
+        ends = klass[start] == END
+        h = h[~ends]
+        entry = self.pieces.find(h)
+        if (entry < 0).any():
+            if self.pieces.n + int((entry < 0).sum()) > self.pieces.room:
+                self.pieces = Pieces(max(CACHE, len(h)))
+                entry[:] = -1
+            fresh = np.flatnonzero(entry < 0)
+            new, first = np.unique(h[fresh], return_index=True)
+            at = np.flatnonzero(~ends)[fresh[first]]
+            s, e = start[at], end[at]
+            white = (klass[s] >= SPACE) & (klass[e - 1] >= SPACE)
+            self._learn(raw, s, e, new, white)
+            entry[fresh] = self.pieces.find(h[fresh])
+        sizes = self.pieces.size[entry].astype(np.int64)
+        ids = self.pieces.ids[ranges(self.pieces.at[entry], sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.flatnonzero(ends) - np.arange(int(ends.sum()))]
+        return ids, np.diff(upto)[: len(parts)], odd
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        """Parts that join to the text; every part but the first starts with the space it was cut at.
-
-        Where a run of white space stands at a cut, the parts around it are kept together."""
-        raw = text.split(" ")
-        parts, held = [], raw[0]
-        for x in raw[1:]:
-            # The cut needs a character that is not white space on both sides of the space.
-            if x and held and not held[-1].isspace() and not x[0].isspace():
-                parts.append(held)
-                held = " " + x
+    def _divide(text: bytes) -> list[bytes]:
+        """A long text in parts, cut where a piece begins whatever stands around: at a space between two letters."""
+        out, at = [], 0
+        while len(text) - at > GROUP:
+            found = _SAFE.search(text, at + GROUP // 2)
+            if not found:
+                break
+            out.append(text[at : found.start() + 1])
+            at = found.start() + 1
+        return [*out, text[at:]]
+
+    def encode_flat(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one behind the other; where each text's begin, and the end)."""
+        raw = [t.encode("utf-8", "replace") if isinstance(t, str) else t or b"" for t in texts]
+        made: list[np.ndarray] = []
+        counts = np.zeros(len(raw), np.int64)
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if not held:
+                return
+            ids, n, odd = self._group([p for _, p in held])
+            owner = np.array([i for i, _ in held])
+            if not odd.any():
+                made.append(ids)
+                np.add.at(counts, owner, n)
             else:
-                held += " " + x
-        parts.append(held)
-        return parts
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Words of texts with single spaces only are looked up as they are; others are cut first.
-
-        Each word is looked up once; what is not known yet is encoded for all texts together and put in its places."""
-        get = self.known.get
-        heads, rows = [], []
-        fresh: set[str] = set()
-        for t in texts:
-            t = t or ""
-            if self.added is not None and self.added.search(t):
-                rows.append(([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()], [], []))
-                heads.append("")
+                strange = set(owner[odd].tolist())
+                for (i, _), part in zip(held, np.split(ids, np.cumsum(n)[:-1])):
+                    if i not in strange:
+                        made.append(part)
+                        counts[i] += len(part)
+                    elif counts[i] == 0:
+                        made.append(self._whole(raw[i]))
+                        counts[i] = len(made[-1])
+            held, size = [], 0
+
+        for i, t in enumerate(raw):
+            if not self.by_piece or any(a in t for a in self.added):
+                flush()
+                made.append(self._whole(t))
+                counts[i] = len(made[-1])
                 continue
-            if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _ODD.search(t):
-                parts = self.cut(t)
-                heads.append(parts[0])
-                words = [x[1:] for x in parts]
-            else:
-                words = t.split(" ")
-                heads.append(words[0])
-            found = list(map(get, words))
-            # The head has no space before it, so it is encoded apart.
-            found[0] = b""
-            open_ = [i for i, v in enumerate(found) if v is None]
-            fresh.update([words[i] for i in open_])
-            rows.append((found, words, open_))
-        extra: dict[str, bytes] = {}
-        if fresh:
-            self._fill(list(fresh), extra)
-            if len(self.known) + len(extra) <= CACHE:
-                self.known.update(extra)
-        first: dict[str, bytes] = {}
-        self._fill_any(list(dict.fromkeys(h for h in heads if h)), first)
+            long = len(t) > GROUP
+            if long or size + len(t) > GROUP:
+                flush()
+            if long:  # all parts of a text are in one group if the library must see it whole
+                for part in self._parts(t):
+                    made.append(part)
+                    counts[i] += len(part)
+                continue
+            held.append((i, t))
+            size += len(t)
+        flush()
+        return (np.concatenate(made) if made else np.empty(0, np.uint32)), np.concatenate([[0], np.cumsum(counts)])
+
+    def _parts(self, text: bytes) -> list[np.ndarray]:
         out = []
-        for h, (found, words, open_) in zip(heads, rows):
-            for i in open_:
-                found[i] = extra[words[i]]
-            if h:
-                found[0] = first[h]
-            out.append(b"".join(found))
+        for p in self._divide(text):
+            ids, _, odd = self._group([p])
+            if odd.any():
+                return [self._whole(text)]
+            out.append(ids)
         return out
 
+    def encode_all(self, texts: list) -> list[bytes]:
+        """Ids of each text as '<u4' bytes."""
+        ids, at = self.encode_flat(texts)
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * s : 4 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+
 
 def encoder(path: str | None = None) -> Encoder:
     """The worker's own encoder; the path is one that every node has."""
@@ -192,12 +353,19 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 def groups(texts, most_chars: int = 4_000_000):
-    """Index ranges of a batch that hold about `most_chars` characters each, so that memory does not follow the batch."""
+    """Index ranges of a batch (a list or an Arrow array) that hold about `most_chars` characters (or bytes) each, so
+    that memory does not follow the batch."""
+    if isinstance(texts, list):
+        sizes = [len(t or "") for t in texts]
+    else:
+        import pyarrow.compute as pc
+
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n
         if size >= most_chars:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

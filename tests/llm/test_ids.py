@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import id_coder, id_files, tokens
+from tokenizers import Tokenizer
 
 
 @settings(max_examples=40, deadline=None)
@@ -42,10 +43,10 @@ def test_damage_is_found():
 
 
 def _expected(rows, end=2):
-    enc = tokens.encoder()
+    enc = Tokenizer.from_file(tokens.default_vocabulary())
     out, at = [], 0
     for key, text in rows:
-        raw = b"".join(i.to_bytes(4, "little") for i in enc.tokenizer.encode(text or "", add_special_tokens=False).ids) + end.to_bytes(4, "little")
+        raw = b"".join(i.to_bytes(4, "little") for i in enc.encode(text or "", add_special_tokens=False).ids) + end.to_bytes(4, "little")
         out.append((key, at, len(raw) // 4, zlib.crc32(raw)))
         at += len(raw) // 4
     return out

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 from plumbline.llm import packing, tokens
+from tokenizers import Tokenizer
 
 
 def best_fit_decreasing(sizes, length):
@@ -54,7 +55,7 @@ def test_pieces_against_plain_encoding(spark):
     rows += [(80, None), (81, ""), (81, ""), (None, "no id"), (82, "word " * 9000)]
     docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, length int, piece string").repartition(3)
     got = packing.pack(docs, with_ids=True).collect()
-    enc = tokens.encoder().tokenizer
+    enc = Tokenizer.from_file(tokens.default_vocabulary())
     want = []
     for i, t in rows:
         ids = enc.encode(t or "", add_special_tokens=False).ids + [0]
