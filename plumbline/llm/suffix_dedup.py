@@ -9,13 +9,16 @@ segments are joined by a stop symbol, sorted by induced sorting (see suffix_arra
 prefixes tell which windows have an equal neighbour. Windows found are joined back to where they occur, merged into
 spans and removed.
 
-Hot strings: equal segments are counted before they are moved, so thousands of copies are one segment with a weight;
-where one 64-byte string has more than `MOST` different segments around it (a common line), the string is not put
-into one shard but its windows are compared on their own, each window a key (exact, linear, and spread over tasks).
-Joins on hot strings are plain joins of one row against many, which adaptive execution splits.
+Hot strings: equal segments are counted before they are moved, so thousands of copies are one segment with a weight.
+The different segments around one string (a common line) are split by more of what stands around it: where they hold
+more than `HOT_BYTES`, their windows are assigned anew to the smallest 128-byte string, then to one of 184 bytes, and
+at last to themselves, at which point equal windows are one segment. Every window is sorted in a shard of at most
+`SHARD_BYTES + HOT_BYTES`, at whichever length, and no task holds more. Joins on hot strings are plain joins of one
+row against many, which adaptive execution splits.
 
 Texts are looked up by their md5: equal texts have equal results. They are written once, bucketed by it, so both
-reads of the text by key need no further shuffle of the text.
+reads of the text by key need no further shuffle of the text. Segments are taken for equal by a 128-bit hash of their
+bytes; that is the only place where bytes are not compared themselves.
 
 Defined cases: a null text is empty (0 bytes, none removed); rows that repeat an id are rows of their own, and their
 text then occurs twice; null ids pass through; an empty table gives no rows; other columns are not touched.
@@ -24,6 +27,7 @@ text then occurs twice; null ids pass through; an empty table gives no rows; oth
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -33,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, suffix_array
+from . import common, suffix_array, tokens
 
 P = "__d_"
-WINDOW, GRAM = 200, 64
-#: Different segments of one 64-byte string that share a shard; beyond it windows are compared one by one.
-MOST = 50_000
-SHARD_BYTES = 3_000_000
+WINDOW = 200
+#: Bytes of the string that windows are dealt by: the first for all, the next ones for what is still hot.
+GRAMS = (64, 128, 184, WINDOW)
+#: Bytes of different segments around one string from which on they are split.
+HOT_BYTES = 500_000
+SHARD_BYTES = 2_000_000
 #: Text that is hashed at once.
 SLICE_BYTES = 1_000_000
 _M = 0x9E3779B97F4A7C15 | 1
@@ -67,14 +73,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
-    """Segments of the texts: (text number, first window, windows, string key, content key) as arrays."""
+def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAMS[0]):
+    """Segments of the texts: (text number, first window, windows, string key as arrays, 16-byte hashes as a list)."""
+    import xxhash
+
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    buf = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(texts)
+    buf = np.frombuffer(raw, np.uint8)
     n = len(buf)
     none = np.empty(0, np.int64)
     if n < window:
-        return none, none, none, none, none
+        return none, none, none, none, []
     up, down = _power_tables(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
@@ -107,18 +116,19 @@ def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
     last = starts[text] + lens[text] - window + 1
     after = np.minimum(np.r_[first[1:], n_win], last)
     size = after - first
-    end = after - 1 + window
-    content = _mix((total[end] - total[first]) * down[first] + size.astype(np.uint64))
-    return text, first - starts[text], size, g[at[first]].view(np.int64), content.view(np.int64)
+    view = memoryview(raw)
+    content = [xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(first.tolist(), (after - 1 + window).tolist())]
+    return text, first - starts[text], size, g[at[first]].view(np.int64), content
 
 
-def _segment_rows(most_bytes: int):
+def _segment_rows(most_bytes: int, gram: int):
     """Segments of each batch, about `most_bytes` of text at a time; longer texts are read in slices that overlap, so
     that each window is in one slice whole."""
 
     def slices(texts):
         group, size = [], 0
         for i, t in enumerate(texts):
+            t = t.as_py()
             for at in range(0, max(len(t) - WINDOW + 1, 1), most_bytes):
                 part = t[at : at + most_bytes + WINDOW - 1]
                 if group and size + len(part) > most_bytes:
@@ -132,155 +142,166 @@ def _segment_rows(most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, copies = b.column(0), b.column(1)
-            for group in slices(b.column(2).cast(pa.binary()).to_pylist()):
-                part, at, n, key, content = segments([g[2] for g in group])
+            for group in slices(b.column(2).cast(pa.binary())):
+                part, at, n, key, content = segments([g[2] for g in group], gram=gram)
                 took = pa.array(np.array([g[0] for g in group], np.int64)[part])
                 at = at + np.array([g[1] for g in group], np.int64)[part]
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(took), copies.take(took), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(content)],
-                    ["tkey", "copies", "at", "n", "key", "content"],
+                    [keys.take(took), copies.take(took), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(content, pa.binary())],
+                    ["uid", "copies", "at", "n", "key", "sid"],
                 )
 
     return run
 
 
-_SEGMENTS = "tkey binary, copies long, at int, n int, key long, content long"
-
-
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, list of segments) to (key, content, n, weight, bytes)."""
-    for b in batches:
-        out: list[list] = [[], [], [], [], []]
-        held = 0
-        for text, segs in zip(b.column(0).cast(pa.binary()), b.column(1)):
-            raw = text.as_py()
-            for s in segs.as_py():
-                part = raw[s["at"] : s["at"] + s["n"] - 1 + WINDOW]
-                for col, v in zip(out, (s["key"], s["content"], s["n"], s["weight"], part)):
-                    col.append(v)
-                held += len(part)
-            if held > 8_000_000:
-                yield _cut_batch(out)
-                out, held = [[], [], [], [], []], 0
-        if out[0]:
-            yield _cut_batch(out)
+_SEGMENTS = "uid binary, copies long, at int, n int, key long, sid binary"
 
 
-def _cut_batch(out):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["key", "content", "n", "weight", "bytes"])
+def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """(where each value starts, and the last one's end; the bytes) of a binary column, without a copy."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
-def repeated_windows(parts: list[bytes], sizes: list[int], weights: list[int], window: int = WINDOW) -> list[np.ndarray]:
-    """For each segment of a shard, which of its windows occur anywhere else, by the shard's suffix array."""
-    lens = np.array([len(p) for p in parts], np.int64)
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, list of segments) to (key, sid, n, weight, bytes), a few megabytes at a time."""
+    for b in batches:
+        texts = b.column(0).cast(pa.binary())
+        start, data = _bytes_of(texts)
+        segs = b.column(1)
+        row = np.repeat(np.arange(len(segs)), segs.value_lengths().to_numpy(zero_copy_only=False))
+        flat = segs.flatten()
+        col = dict(zip([f.name for f in flat.type], flat.flatten()))
+        size = col["n"].to_numpy(zero_copy_only=False).astype(np.int64) + WINDOW - 1
+        first = start[row] + col["at"].to_numpy(zero_copy_only=False)
+        upto = np.cumsum(size)
+        s = 0
+        while s < len(size):
+            e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + 2_000_000)))
+            cut = data[tokens.ranges(first[s:e], size[s:e])]
+            edges = np.concatenate([[0], np.cumsum(size[s:e])]).astype(np.int32)
+            parts = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(edges), pa.py_buffer(cut)])
+            yield pa.RecordBatch.from_arrays([*[col[c].slice(s, e - s) for c in ("key", "sid", "n", "weight")], parts], ["key", "sid", "n", "weight", "bytes"])
+            s = e
+
+
+_CUT = "key long, sid binary, n int, weight long, bytes binary"
+
+
+def repeated_windows(data: np.ndarray, lens: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that occur anywhere else: (segment, first window, last window). The segments' bytes are one
+    behind the other in `data`; a segment with a weight above one occurs elsewhere as a whole."""
     starts = np.cumsum(lens + 1) - lens - 1
-    t = np.empty(int(lens.sum()) + len(parts) + 1, np.int32)
-    t[:-1] = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8).astype(np.int32) + 2
-    t[starts + lens] = 1  # the stop symbol
+    t = np.full(int(lens.sum()) + len(lens) + 1, 1, np.uint16)  # 1 is the stop symbol
+    t[tokens.ranges(starts, lens)] = data.astype(np.uint16) + 2
     t[-1] = 0
     sa = suffix_array.suffix_array(t, 258)
     plcp = suffix_array.common_prefixes(t, sa, 1)
-    deep = plcp[sa] >= window
-    hit = np.zeros(len(t), bool)
+    deep = np.flatnonzero(plcp[sa] >= window)
+    hit = np.zeros(len(t) + 1, bool)
     hit[sa[deep]] = True
-    hit[sa[np.flatnonzero(deep) - 1]] = True
-    return [hit[s : s + n] | (w > 1) for s, n, w in zip(starts.tolist(), sizes, weights)]
+    hit[sa[deep - 1]] = True
+    copied = weights > 1
+    hit[tokens.ranges(starts[copied], (lens - window + 1)[copied])] = True
+    edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+    if hit[0]:
+        edge = np.concatenate([[0], edge])
+    first, last = edge[::2], edge[1::2] - 1
+    which = np.searchsorted(starts, first, "right") - 1
+    return which, first - starts[which], last - starts[which]
 
 
-_FOUND = "key long, content long, n int, first int, last int, weight long, bytes binary"
-_FOUND_ARROW = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("weight", pa.int64()), ("bytes", pa.binary())])
+_RUNS = "sid binary, first int, last int"
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, packed into shards of whole keys. Gives runs of repeated windows (first..last), and, for
-    keys with more than MOST segments, the segments themselves (first is null)."""
-
-    def solve(rows):
-        masks = repeated_windows([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
-        out: list[list] = [[], [], [], [], []]
-        for r, m in zip(rows, masks):
-            edge = np.flatnonzero(np.diff(np.r_[False, m, False].astype(np.int8)))
-            for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                for col, v in zip(out, (r[0], r[1], r[2], a, e - 1)):
-                    col.append(v)
-        n = len(out[0])
-        return pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(out, _FOUND_ARROW)], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_FOUND_ARROW)
-
-    def pass_on(rows):
-        n = len(rows)
-        c = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())], schema=_FOUND_ARROW)
-
-    shard, size, group, now, spilling = [], 0, [], None, False
-    for b in batches:
-        for r in zip(*[c.to_pylist() for c in b.columns]):
-            if r[0] != now:
-                if group and spilling:
-                    yield pass_on(group)
-                else:
-                    shard += group
-                now, group, spilling = r[0], [], False
-                if size >= SHARD_BYTES:
-                    yield solve(shard)
-                    shard, size = [], 0
-            group.append(r)
-            if not spilling:
-                size += len(r[4])
-            if len(group) > MOST:
-                if not spilling:
-                    size -= sum(len(x[4]) for x in group)
-                spilling = True
-                yield pass_on(group)
-                group = []
-    if group and spilling:
-        yield pass_on(group)
-    else:
-        shard += group
-    if shard:
-        yield solve(shard)
-
-
-def _one_by_one(large: DataFrame) -> DataFrame:
-    """Exact way for keys with very many segments: every window is a key of its own."""
-    each = large.select("key", "content", "n", "weight", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("first"))
-    each = each.select("key", "content", "n", "weight", "first", F.sha2(F.expr(f"substring(bytes, first + 1, {WINDOW})"), 256).alias("window"))
-    seen = each.groupBy("window").agg(F.sum("weight").alias("times")).where(F.col("times") > 1)
-    return each.join(seen, "window").select("key", "content", "n", "first", F.col("first").alias("last"))
+    """Rows (key, sid, n, weight, bytes) sorted by key, packed into shards of whole keys, to runs of repeated windows."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        start, data = _bytes_of(rows.column("bytes").chunk(0))
+        lens = np.diff(start)
+        which, first, last = repeated_windows(data[start[0] : start[-1]], lens, rows.column("weight").to_numpy())
+        sid = rows.column("sid").chunk(0).take(pa.array(which))
+        return pa.RecordBatch.from_arrays([sid, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["sid", "first", "last"])
+
+    held = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            b = pa.Table.from_batches([b])
+            held = b if held is None else pa.concat_tables([held, b])
+        if held is None or not held.num_rows:
+            continue
+        key = held.column("key").to_numpy()
+        edge = np.flatnonzero(key[1:] != key[:-1]) + 1  # where a key starts that is not the first; the last may go on
+        if b is None:
+            edge = np.append(edge, len(key))
+        upto = np.concatenate([[0], np.cumsum(held.column("n").to_numpy().astype(np.int64) + WINDOW - 1)])
+        done = 0
+        while len(edge):
+            at = int(np.searchsorted(upto[edge], upto[done] + SHARD_BYTES))
+            if at == len(edge):
+                if b is not None or edge[-1] <= done:
+                    break
+                at -= 1
+            yield solve(held.slice(done, int(edge[at]) - done))
+            done = int(edge[at])
+            edge = edge[at + 1 :]
+        held = held.slice(done)
 
 
 class _Corpus:
-    """Distinct texts (tkey, copies, text), bucketed by tkey."""
+    """Distinct texts (uid, copies, bytes), bucketed by uid, a key made of the text's md5."""
 
     def __init__(self, docs: DataFrame, text: str):
-        spark = docs.sparkSession
-        self.n = common.n_partitions(spark)
+        self.spark = spark = docs.sparkSession
+        n = common.n_partitions(spark)
         self.name = f"plumbline_texts_{uuid.uuid4().hex}"
-        t = F.coalesce(docs[text], F.lit(""))
-        once = docs.select(F.unhex(F.md5(t)).alias("tkey"), t.alias("text")).groupBy("tkey").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+        t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+        once = docs.select(F.unhex(F.md5(t)).alias("uid"), t.alias("text")).groupBy("uid").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
         path = common.new_path(spark, "texts")
-        once.select("tkey", "copies", "text").repartition(self.n, "tkey").write.bucketBy(self.n, "tkey").option("path", path).saveAsTable(self.name)
+        once.select("uid", "copies", F.encode("text", "UTF-8").alias("bytes")).repartition(n, "uid").write.bucketBy(n, "uid").option("path", path).saveAsTable(self.name)
         self.table = spark.read.table(self.name)
 
+    def drop(self) -> None:
+        """Take the table out of the catalog once what was made of it is written; its files go with the session."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
 
-def spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(distinct texts, spans): the second has tkey and an array of (s, e), covered bytes of that text, unmerged."""
-    corpus = _Corpus(docs, text).table
-    found = corpus.where(F.octet_length("text") >= WINDOW).select("tkey", "copies", "text").mapInArrow(_segment_rows(SLICE_BYTES), _SEGMENTS)
+def _covered(units: DataFrame, level: int) -> DataFrame:
+    """(uid, s, e): runs of repeated windows, first and last, of byte strings (uid, copies, bytes)."""
+    n = common.n_partitions(units.sparkSession)
+    found = units.where(F.octet_length("bytes") >= WINDOW).select("uid", "copies", "bytes").mapInArrow(_segment_rows(SLICE_BYTES, GRAMS[level]), _SEGMENTS)
     found = common.materialize(found, "segments")
     again = found.groupBy("key").agg(F.sum("copies").alias("times")).where(F.col("times") > 1).select("key")
     hits = common.materialize(found.join(again, "key", "left_semi"), "hits")
-    same = ["key", "content", "n"]
-    lead = hits.groupBy(*same).agg(F.sum("copies").alias("weight"), F.min(F.struct("tkey", "at")).alias("lead"))
-    wanted = lead.groupBy(F.col("lead.tkey").alias("tkey")).agg(F.collect_list(F.struct("key", "content", "n", "weight", F.col("lead.at").alias("at"))).alias("segs"))
-    cut = corpus.join(wanted, "tkey").select("text", "segs").mapInArrow(_cut_out, "key long, content long, n int, weight long, bytes binary")
-    n = common.n_partitions(docs.sparkSession)
-    runs = common.materialize(cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, _FOUND), "runs")
-    large = runs.where(F.col("first").isNull())
-    runs = runs.where(F.col("first").isNotNull()).select(*same, "first", "last")
-    if not large.isEmpty():
-        runs = runs.unionByName(_one_by_one(large))
-    covered = hits.join(runs, same).select("tkey", F.struct((F.col("at") + F.col("first")).alias("s"), (F.col("at") + F.col("last") + WINDOW).alias("e")).alias("span"))
-    return corpus, covered.groupBy("tkey").agg(F.collect_list("span").alias("spans"))  # bounded by the text's length
+    lead = hits.groupBy("sid").agg(F.sum("copies").alias("weight"), F.min(F.struct("uid", "at", "n", "key")).alias("lead"))
+    lead = common.materialize(lead.select("sid", "weight", "lead.*"), "leads")
+    cut = lambda own: units.join(
+        own.groupBy("uid").agg(F.collect_list(F.struct("key", "sid", "n", "weight", "at")).alias("segs")), "uid"  # bounded by the text's length
+    ).select("bytes", "segs").mapInArrow(_cut_out, _CUT)
+    hot = None
+    if GRAMS[level] < WINDOW:
+        hot = lead.groupBy("key").agg(F.sum(F.col("n") + WINDOW - 1).alias("size")).where(F.col("size") > HOT_BYTES).select("key")
+        hot = common.materialize(hot, "hot")
+        if hot.isEmpty():
+            hot = None
+    cold = lead if hot is None else lead.join(hot, "key", "left_anti")
+    runs = cut(cold).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, _RUNS)
+    if hot is not None:
+        split = cut(lead.join(hot, "key", "left_semi")).select(F.col("sid").alias("uid"), F.col("weight").alias("copies"), "bytes")
+        split = _covered(common.materialize(split, "hot"), level + 1)
+        runs = runs.unionByName(split.select(F.col("uid").alias("sid"), F.col("s").alias("first"), F.col("e").alias("last")))
+    runs = common.materialize(runs, "runs")
+    return hits.select("uid", "at", "sid").join(runs, "sid").select("uid", (F.col("at") + F.col("first")).alias("s"), (F.col("at") + F.col("last")).alias("e"))
+
+
+def spans(corpus: _Corpus) -> DataFrame:
+    """(uid, spans): an array of (s, e), covered bytes of that text, unmerged."""
+    span = F.struct("s", (F.col("e") + WINDOW).alias("e")).alias("span")
+    return _covered(corpus.table, 0).select("uid", span).groupBy("uid").agg(F.collect_list("span").alias("spans"))  # bounded by the text's length
 
 
 def merged(found: list[dict] | None) -> list[tuple[int, int]]:
@@ -318,40 +339,42 @@ def whole_characters(raw: bytes, removed: list[tuple[int, int]]) -> list[tuple[i
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[], [], [], []]
-        for text, found in zip(b.column(1).cast(pa.binary()), b.column(2)):
+        for text, found in zip(b.column(1), b.column(2)):
             raw, cut = text.as_py(), merged(found.as_py())
             rest = keep_rest(raw, cut)
             for col, v in zip(out, (len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest())):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["tkey", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for text, found in zip(b.column(1).cast(pa.binary()), b.column(2)):
+        for text, found in zip(b.column(1), b.column(2)):
             raw = text.as_py()
             out.append(keep_rest(raw, whole_characters(raw, merged(found.as_py()))).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["tkey", "text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["uid", "text"])
 
 
 def suffix_query(docs: DataFrame) -> DataFrame:
-    corpus, found = spans(docs.select("doc_id", "text"))
-    each = corpus.join(found, "tkey", "left").select("tkey", "text", "spans")
-    done = each.mapInArrow(_digest, "tkey binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    corpus = _Corpus(docs.select("doc_id", "text"), "text")
+    each = corpus.table.join(spans(corpus), "uid", "left").select("uid", "bytes", "spans")
+    done = each.mapInArrow(_digest, "uid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     done = common.materialize(done, "digests")
-    ids = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tkey"))
-    return ids.join(done, "tkey").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    corpus.drop()
+    ids = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("uid"))
+    return ids.join(done, "uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with repeated passages cut out of the text (whole characters only) and n_chars brought up to date.
     Documents of which nothing but white space is left go; texts that were blank before stay as they are."""
-    corpus, found = spans(docs, text)
-    changed = corpus.join(found, "tkey").select("tkey", "text", "spans").mapInArrow(_clean, "tkey binary, text string")
-    changed = common.materialize(changed.select(F.col("tkey").alias(P + "tkey"), F.col("text").alias(P + "new")), "cleaned")
-    own = docs.withColumn(P + "tkey", F.unhex(F.md5(F.coalesce(docs[text], F.lit("")))))
-    out = own.join(changed, P + "tkey", "left")
+    corpus = _Corpus(docs, text)
+    changed = corpus.table.join(spans(corpus), "uid").select("uid", "bytes", "spans").mapInArrow(_clean, "uid binary, text string")
+    changed = common.materialize(changed.select(F.col("uid").alias(P + "uid"), F.col("text").alias(P + "new")), "cleaned")
+    corpus.drop()
+    own = docs.withColumn(P + "uid", F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    out = own.join(changed, P + "uid", "left")
     out = out.where(F.col(P + "new").isNull() | (F.translate(P + "new", common.BLANKS, "") != ""))
     value = F.coalesce(F.col(P + "new"), F.col(f"`{text}`"))
     cols = []
