@@ -278,20 +278,19 @@ def _covered(units: DataFrame, level: int) -> DataFrame:
     again = found.groupBy("key").agg(F.sum("copies").alias("times")).where(F.col("times") > 1).select("key")
     hits = common.materialize(found.join(again, "key", "left_semi"), "hits")
     lead = hits.groupBy("sid").agg(F.sum("copies").alias("weight"), F.min(F.struct("uid", "at", "n", "key")).alias("lead"))
-    lead = common.materialize(lead.select("sid", "weight", "lead.*"), "leads")
-    cut = lambda own: units.join(
-        own.groupBy("uid").agg(F.collect_list(F.struct("key", "sid", "n", "weight", "at")).alias("segs")), "uid"  # bounded by the text's length
+    lead = lead.select("sid", "weight", "lead.*")
+    around = lead.groupBy("key").agg(F.count("*").alias("different"), F.sum(F.col("n") + WINDOW - 1).alias("size"))
+    splits = GRAMS[level] < WINDOW
+    kind = F.when(F.col("different") == 1, 0).when((F.col("size") <= HOT_BYTES) | F.lit(not splits), 1).otherwise(2)
+    lead = common.materialize(lead.join(around.select("key", kind.alias("kind")), "key"), "leads")
+    cut = lambda kind: units.join(
+        lead.where(F.col("kind") == kind).groupBy("uid").agg(F.collect_list(F.struct("key", "sid", "n", "weight", "at")).alias("segs")), "uid"  # bounded by the text's length
     ).select("bytes", "segs").mapInArrow(_cut_out, _CUT)
-    hot = None
-    if GRAMS[level] < WINDOW:
-        hot = lead.groupBy("key").agg(F.sum(F.col("n") + WINDOW - 1).alias("size")).where(F.col("size") > HOT_BYTES).select("key")
-        hot = common.materialize(hot, "hot")
-        if hot.isEmpty():
-            hot = None
-    cold = lead if hot is None else lead.join(hot, "key", "left_anti")
-    runs = cut(cold).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, _RUNS)
-    if hot is not None:
-        split = cut(lead.join(hot, "key", "left_semi")).select(F.col("sid").alias("uid"), F.col("weight").alias("copies"), "bytes")
+    # A segment that is alone under its string has been counted more than once, so all of it is elsewhere too.
+    runs = lead.where(F.col("kind") == 0).select("sid", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
+    runs = runs.unionByName(cut(1).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, _RUNS))
+    if splits and not lead.where(F.col("kind") == 2).isEmpty():
+        split = cut(2).select(F.col("sid").alias("uid"), F.col("weight").alias("copies"), "bytes")
         split = _covered(common.materialize(split, "hot"), level + 1)
         runs = runs.unionByName(split.select(F.col("uid").alias("sid"), F.col("s").alias("first"), F.col("e").alias("last")))
     runs = common.materialize(runs, "runs")
