@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, graph
-from .near_copies import drop_near_duplicates  # noqa: F401
 
 P = "__s_"
 #: Distinct fingerprints under one key that are compared with each other; larger keys take the exact detour.
@@ -62,7 +61,11 @@ def fingerprint(text: str | None, n_words: int = 4, seed: int = 42) -> int:
         at = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
         starts, ends = [0, *at[: len(w) - n_words].tolist()], (at[n_words - 1 :] - 1).tolist()
         h = map(xxhash.xxh64_digest, [joined[s:e] for s, e in zip(starts, ends)], itertools.repeat(seed))
-    raw = np.frombuffer(b"".join(h), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join(h), np.uint8).reshape(-1, 8))
+
+
+def majority(raw: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes, given as rows of eight bytes, most significant first."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(raw), 1 << 14):  # long texts: a megabyte of bits at a time
         ones += np.add.reduce(np.unpackbits(raw[k : k + (1 << 14)], axis=1), axis=0, dtype=np.int64)

@@ -2,7 +2,7 @@ import itertools
 import random
 
 import xxhash
-from plumbline.llm import simhash
+from plumbline.llm import near_copies, simhash
 
 
 def slow_fingerprint(text):
@@ -112,7 +112,7 @@ def test_one_row_of_each_group_stays(spark):
     t = " ".join(f"w{i}" for i in range(60))
     rows = [(5, t, None), (3, t, "a"), (3, t, "a"), (None, t, "b"), (9, "other text altogether, long enough to be on its own here", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
-    got = simhash.drop_near_duplicates(docs)
+    got = near_copies.drop_near_duplicates(docs)
     assert got.columns == ["doc_id", "text", "root"]
     assert sorted((r[0], r[2]) for r in got.collect()) == [(3, "a"), (9, "c")]
 
@@ -120,4 +120,4 @@ def test_one_row_of_each_group_stays(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_query(docs).collect() == []
-    assert simhash.drop_near_duplicates(docs).collect() == []
+    assert near_copies.drop_near_duplicates(docs).collect() == []
