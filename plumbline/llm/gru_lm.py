@@ -36,7 +36,7 @@ from . import common, tokens
 
 NET, PER_CLASS, RARE, COMMON = 2048, 64, 48, 65_536
 HIDDEN, STEPS, LANES = 16, 32, 192
-WARM_DOCS = 300
+WARM_DOCS, WARM_TOKENS = 300, 4_000
 END = b"\n"  # no word holds a line end
 C = NET // PER_CLASS
 
@@ -160,15 +160,15 @@ class Network:
             yield codes[:n, t : t + steps].T, previous[:n, t : t + steps].T, start[:n, t : t + steps].T, owner[:n, t : t + steps].T
 
     def run(self, inputs: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool):
-        """States of a window, the last one, and what backpropagation needs of it. Gates are logistic functions,
-        written as tanh of half the sum, which is halved once for all steps."""
+        """States of a window, the last one, and what backpropagation needs of it."""
         p, H = self.p, HIDDEN
         T, B = inputs.shape
         kind = self.flat.dtype
-        half = np.ones(3 * H, kind)
-        half[: 2 * H] = 0.5
-        x = ((p["E"] + p["b"]) * half)[inputs]
-        u = p["U"] * half
+        # Gates are logistic functions, 1 / (1 + exp(-x)); the candidate's tanh is 2 / (1 + exp(-2x)) - 1.
+        scale = np.full(3 * H, -1, kind)
+        scale[2 * H :] = -2
+        x = ((p["E"] + p["b"]) * scale)[inputs]
+        u = p["U"] * scale
         states = np.empty((T, B, H), kind)
         held = [np.empty((T, B, H), kind) for _ in range(4)] if keep else []
         fresh = start.any(1)
@@ -178,12 +178,17 @@ class Network:
                 h = h * ~start[t][:, None]
             np.matmul(h, u, out=a)
             np.add(x[t, :, : 2 * H], a[:, : 2 * H], out=zr)
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
+            np.minimum(zr, 80, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.divide(1, zr, out=zr)
             np.multiply(zr[:, H:], a[:, 2 * H :], out=n)
             n += x[t, :, 2 * H :]
-            np.tanh(n, out=n)
+            np.minimum(n, 80, out=n)
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
             now = states[t]
             np.subtract(h, n, out=now)
             if keep:
@@ -266,7 +271,7 @@ class Network:
         np.clip(n, -1, 1, out=n)
         to_n = open_ * (1 - n * n)
         to_z = (h - n) * z * open_
-        to_r = an * r * (1 - r)
+        to_r = an * (-0.5 * r * (1 - r))  # an is held as it was scaled for the exponential
         da = np.empty((T, B, 3 * H), states.dtype)
         dn = np.empty((T, B, H), states.dtype)
         dh = np.zeros((B, H), states.dtype)
@@ -363,21 +368,47 @@ def _counted(c: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
 
-def _batches(texts: list[str | None], v: Vocabulary, tail: list | None = None, most_chars: int = 4_000_000):
-    for s, e in tokens.groups(texts, most_chars):
-        yield s, e, [v.encode(t, tail) for t in texts[s:e]]
+def _encode(share):
+    """(doc_id, held_out, text) to codes as '<i4' bytes, what the vocabulary alone tells, and the words beyond it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = share.value
+        for b in batches:
+            for s, e in tokens.groups(b.column(2).cast(pa.binary())):
+                tail: list = []
+                docs = [v.encode(t, tail) for t in b.column(2)[s:e].to_pylist()]
+                base, known = [], []
+                for d in docs:
+                    near = d[d < COMMON]
+                    base.append(float(v.base[near].sum()))
+                    known.append(int(v.known[near].sum()))
+                codes = pa.array([d.astype("<i4").tobytes() for d in docs], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[s:e], b.column(1)[s:e], pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), codes, pa.array(tail, pa.list_(pa.string()))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "codes", "tail"],
+                )
+
+    return run
+
+
+def _held(column, most_tokens: int):
+    """Slices of a column of codes with about so many tokens each: (start, end, codes of each document)."""
+    for s, e in tokens.groups(column.cast(pa.binary()), 4 * most_tokens):
+        yield s, e, [np.frombuffer(c.as_py(), "<i4") for c in column[s:e]]
 
 
 def _train(share, flat: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Trainer(Network(flat.copy(), share.value), rate)
         held: list[np.ndarray] = []
+        size = 0
         for b in batches:
-            for _, _, docs in _batches(b.column(0).to_pylist(), share.value):
+            for _, _, docs in _held(b.column(0), 1_500_000):
                 held += docs
-                if sum(map(len, held)) > 1_500_000:
+                size += sum(map(len, docs))
+                if size > 1_500_000:
                     t.learn(held)
-                    held = []
+                    held, size = [], 0
         if held:
             t.learn(held)
         if t.seen:
@@ -389,24 +420,11 @@ def _train(share, flat: np.ndarray, rate: float):
 
 def _score_rows(share, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = share.value
-        net = Network(flat, v)
+        net = Network(flat, share.value)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            tail: list = []
             # Many texts at a time: a very long one then runs beside enough others to fill the lanes.
-            for s, e, docs in _batches(texts, v, tail, 24_000_000):
-                got = score(net, docs)
-                base, known = [], []
-                for d in docs:
-                    near = d[d < COMMON]
-                    base.append(float(v.base[near].sum()))
-                    known.append(int(v.known[near].sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[s:e], b.column(1)[s:e], pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(got), pa.array(tail, pa.list_(pa.string()))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
-                )
-                tail.clear()
+            for s, e, docs in _held(b.column(1), 4_000_000):
+                yield pa.RecordBatch.from_arrays([b.column(0)[s:e], pa.array(score(net, docs))], ["row", "net_score"])
 
     return run
 
@@ -415,31 +433,52 @@ def _rare_class(word):
     return F.pmod(F.crc32(F.encode(F.substring(word, 1, 2), "UTF-8")), F.lit(RARE)).cast("int")
 
 
-def fit(train: DataFrame, rate: float = 0.008) -> tuple[DataFrame, Vocabulary, np.ndarray]:
-    """(count table, vocabulary, weights) from the `text` column of all rows."""
-    spark = train.sparkSession
+def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most COMMON words, the most frequent ones: all from the least count on at which they are not more. Counts are
+    taken in steps of a sixteenth of an octave, so that the driver sees a bounded histogram and then these words."""
+    step = F.floor(16 * F.log2("n")).cast("int")
+    room, least = COMMON, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).orderBy(F.desc("step")).collect():  # 1,024 rows at most
+        if r["v"] > room:
+            break
+        room, least = room - r["v"], r["step"]
+    if least is None:
+        return []
+    top = counts.where(step >= least).select("word", "n").toArrow()
+    rows = zip(top.column("word").to_pylist(), top.column("n").to_pylist())
+    return [(w.encode(), n) for w, n in sorted(rows, key=lambda r: (-r[1], r[0]))]
+
+
+def vocabulary(train: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """(count table, vocabulary) from the `text` column of all rows."""
     counts = common.materialize(train.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     sums = counts.groupBy(_rare_class(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # RARE rows
     class_n, class_v = np.zeros(RARE), np.zeros(RARE)
     for r in sums:
         class_n[r["c"]], class_v[r["c"]] = r["n"], r["v"]
-    top = [(r["word"].encode(), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
-    v = Vocabulary(top, int(class_n.sum()), int(class_v.sum()), class_n, class_v)
+    return counts, Vocabulary(_most_frequent(counts), int(class_n.sum()), int(class_v.sum()), class_n, class_v)
+
+
+def fit(train: DataFrame, v: Vocabulary, share, rate: float = 0.008) -> np.ndarray:
+    """Weights from the `codes` of all rows."""
     flat = first_weights(v)
-    # Where training starts from: a short fit on a bounded sample.
-    some = train.where(F.length("text") < 20_000).orderBy(F.xxhash64("text")).limit(WARM_DOCS).select("text").collect()
+    # Where training starts from: a short fit on a bounded sample of rows of bounded length.
+    n = train.count()
+    some = train.where(F.octet_length("codes") < 4 * WARM_TOKENS)
+    if n > WARM_DOCS:
+        some = some.where(F.pmod(F.xxhash64("row"), F.lit(n)) < 2 * WARM_DOCS)
+    some = some.select("codes").limit(WARM_DOCS).collect()
     if some:
         t = Trainer(Network(flat, v), 0.01)
-        docs = [v.encode(r["text"]) for r in some]
+        docs = [np.frombuffer(r["codes"], "<i4") for r in some]
         for k in range(0, len(docs), LANES // 2):
             t.learn(docs[k : k + LANES // 2])
-    share = spark.sparkContext.broadcast(v)
-    summed = train.select("text").mapInArrow(_train(share, flat, rate), "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
+    summed = train.select("codes").mapInArrow(_train(share, flat, rate), "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
     got = summed.toPandas()  # SIZE rows
     if len(got):
         flat = np.empty(SIZE, np.float32)
         flat[got["i"].to_numpy()] = got["v"].to_numpy()
-    return counts, v, flat
+    return flat
 
 
 def score_documents(docs: DataFrame, rate: float = 0.008) -> DataFrame:
@@ -447,12 +486,14 @@ def score_documents(docs: DataFrame, rate: float = 0.008) -> DataFrame:
     spark = docs.sparkSession
     held = F.crc32(F.encode(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), "UTF-8")) % 5 == 1
     lean = docs.select("doc_id", held.alias("held_out"), "text")
-    counts, v, flat = fit(lean.where(~F.col("held_out")).select("text"), rate)
+    counts, v = vocabulary(lean.where(~F.col("held_out")))
     share = spark.sparkContext.broadcast(v)
     kind = lean.schema["doc_id"].dataType.simpleString()
-    made = lean.mapInArrow(_score_rows(share, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<string>")
-    made = common.materialize(made.withColumn("row", F.monotonically_increasing_id()), "scores")
-    share.unpersist()
+    made = lean.mapInArrow(_encode(share), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, codes binary, tail array<string>")
+    made = common.materialize(made.withColumn("row", F.monotonically_increasing_id()), "codes")
+    flat = fit(made.where(~F.col("held_out")), v, share, rate)
+    net = made.select("row", "codes").mapInArrow(_score_rows(share, flat), "row long, net_score double")
+    net = common.materialize(net, "scores")
     tail = made.select("row", F.explode("tail").alias("word"))
     n = F.coalesce("n", F.lit(0)) + 0.5
     room = F.get(F.array(*[F.lit(float(x)) for x in v.rare_all]), _rare_class(F.col("word")))
@@ -460,12 +501,12 @@ def score_documents(docs: DataFrame, rate: float = 0.008) -> DataFrame:
         F.sum(F.log10(n / F.lit(v.total + 0.5 * (v.distinct + 1)))).alias("b"), F.sum(F.log10(n / room)).alias("s"), F.count("n").alias("k")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return made.drop("tail").join(beyond, "row", "left").select(
+    return made.drop("tail", "codes").join(net, "row").join(beyond, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + zero("k")).alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + zero("b")).alias("base_score"),
-        (F.col("score") + zero("s")).alias("score"),
+        (F.col("net_score") + zero("s")).alias("score"),
     )

@@ -99,3 +99,19 @@ def test_query(spark, monkeypatch):
             base, score = base + r["base_score"], score + r["score"]
     assert score > base  # the state knows which of the two languages it reads
     assert G.score_documents(df.limit(0)).collect() == []
+
+
+def test_most_frequent_words_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(G, "COMMON", 50)
+    rows = [(f"w{i:03}", 1 + 2000 // (i + 1)) for i in range(400)]
+    got = G._most_frequent(spark.createDataFrame(rows, "word string, n long"))
+    assert 30 < len(got) <= 50
+    assert got == [(w.encode(), n) for w, n in rows[: len(got)]]
+    assert G._most_frequent(spark.createDataFrame([(f"x{i}", 1) for i in range(60)], "word string, n long")) == []
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 997}" for i in range(120_000))
+    df = spark.createDataFrame([(i, long if i == 3 else "w1 w2 w3") for i in range(12)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in G.score_documents(df).collect()}
+    assert got[3]["n_tokens"] == 120_001 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
