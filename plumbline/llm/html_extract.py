@@ -28,11 +28,15 @@ from . import html_pages
 
 TRAINING_PAGES = 300
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|select|textarea|button|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</\1\s*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|<",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: What follows a tag's name up to its end; a ">" inside quotes is not the end.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Elements whose inside is not looked at. Without their end, the first ones run to the end of the page.
+_RAW = {"script", "style", "iframe", "textarea", "title", "noscript", "xmp"}
+_SKIPPED = _RAW | {"template", "svg", "select", "button", "head"}
+_ENDS = {n: re.compile(f"</{n}(?=[\\s/>])" + "|<body(?=[\\s>])" * (n == "head"), re.I) for n in _SKIPPED}
+#: Elements nested deeper are put beside their parent.
+MOST_DEPTH = 512
 _GROUPS = {
     "root": ("html", "body"), "nav": ("nav",), "header": ("header",), "footer": ("footer", "address"), "aside": ("aside",),
     "form": ("form", "fieldset", "dialog"), "p": ("p",), "heading": ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"), "li": ("li", "dt", "dd"),
@@ -89,10 +93,60 @@ class Tree:
         self.segments: list[tuple[int, str]] = []
 
 
+def tags_of(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """(text before, tag name, whether it closes, attributes) in page order; comments, declarations and the inside of
+    skipped elements are left out. Each character is passed over a bounded number of times, whatever is left open:
+    where an end was once not found, it is not looked for again."""
+    at, n = 0, len(page)
+    last_end = page.rfind(">")
+    quotes, missing, text = True, set(), []
+    while at < n:
+        i = page.find("<", at)
+        if i < 0 or i > last_end and not page.startswith("<!--", i):
+            text.append(page[at:])
+            break
+        text.append(page[at:i])
+        if page.startswith(("<!", "<?"), i):
+            comment = page.startswith("<!--", i)
+            end = page.find("-->" if comment else ">", i + 2)
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
+            continue
+        m = _NAME.match(page, i + 1)
+        if m is None:
+            text.append("<")
+            at = i + 1
+            continue
+        name, closing = m[1].lower(), page[i + 1] == "/"
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            # A quote that is never closed: from here on the next ">" ends a tag.
+            quotes = False
+            at = page.find(">", m.end()) + 1
+            attributes = page[m.end() : at - 1]
+        else:
+            attributes, at = rest[1], rest.end()
+        if name in _SKIPPED and not closing and name not in missing:
+            end = _ENDS[name].search(page, at)
+            if end is not None:
+                close = page.find(">", end.end())
+                at = end.start() if page.startswith(("<b", "<B"), end.start()) else n if close < 0 else close + 1
+                continue
+            missing.add(name)
+            if name in _RAW:
+                break
+        yield "".join(text), name, closing, attributes
+        text = []
+    if text:
+        yield "".join(text), None, False, ""
+
+
 def parse(page: str) -> Tree:
     t = Tree()
     parent, depth, tags, kinds, chars, words, links, segments = (getattr(t, s) for s in Tree.__slots__)
     stack: list[tuple[int, str]] = [(0, "")]
+    open_: dict[str, int] = {}  # how many elements of a name are on the stack
     node, buffer, linked, in_link = 0, [], 0, False
 
     def flush():
@@ -110,54 +164,51 @@ def parse(page: str) -> Tree:
             buffer.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        last = m.lastindex
-        if last == 5:
-            s = m[5]
-            buffer.append(s)
+    for text, name, closing, attributes in tags_of(page):
+        if text:
+            buffer.append(text)
             if in_link:
-                linked += len(s)
-            continue
-        if last is None:
-            if m[0] == "<":
-                buffer.append("<")
-            continue
-        if last == 1:
+                linked += len(text)
+        if name is None:
             continue
-        name = m[3].lower()
         group = _TAG.get(name)
         if group is None:
             if name == "a":
-                in_link = not m[2]
+                in_link = not closing
             elif name in _VOID:
                 buffer.append(" ")
             continue
         flush()
         in_link = False
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == name:
-                    del stack[k:]
-                    break
+        if closing:
+            if open_.get(name):
+                while True:
+                    gone = stack.pop()[1]
+                    open_[gone] -= 1
+                    if gone == name:
+                        break
             node = stack[-1][0]
             continue
         top = stack[-1][1]
         if top == "p" or (top == name and name in ("li", "tr", "td", "th", "dt", "dd")) or (top in ("td", "th") and name in ("td", "th", "tr")):
-            stack.pop()
+            open_[stack.pop()[1]] -= 1
             if name == "tr" and stack[-1][1] == "tr":
-                stack.pop()
+                open_[stack.pop()[1]] -= 1
         if name == "li" and any(n == "li" for _, n in stack[-3:]) and not any(n in ("ul", "ol", "menu") for _, n in stack[-2:]):
             while stack[-1][1] not in ("ul", "ol", "menu") and len(stack) > 1:
-                stack.pop()
+                open_[stack.pop()[1]] -= 1
         up = stack[-1][0]
+        if depth[up] >= MOST_DEPTH:
+            up = parent[up]
         node = len(parent)
         parent.append(up)
         depth.append(depth[up] + 1)
         tags.append(group)
-        kinds.append(_kinds_of(m[4]) if m[4] else 0)
+        kinds.append(_kinds_of(attributes) if attributes else 0)
         for c in (chars, words, links):
             c.append(0)
         stack.append((node, name))
+        open_[name] = open_.get(name, 0) + 1
     flush()
     return t
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from plumbline.llm import html_extract as H
 from plumbline.llm import html_pages
@@ -48,3 +50,29 @@ def test_pages(spark):
     assert by[1]["text"] == want and by[1]["n_chars"] == len(want)
     assert by[2]["text"] == "" and by[None]["text"] == ""
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_broken_pages_take_linear_time():
+    pages = {
+        "open quotes": '<a title="b ' * 80_000, "open scripts": "<script>x " * 100_000, "half ends": "<script>" + "</script " * 100_000, "signs": "<" * 1_000_000,
+        "quotes at the end": '<p title="x>y ' * 60_000 + ">", "deep": "<div>" * 60_000 + "</p>" * 60_000, "comments": "<!-- " * 200_000, "svg": "<svg>x" * 150_000,
+    }
+    took = {}
+    for name, page in pages.items():
+        for part in (page[: len(page) // 8], page):
+            at = time.process_time()
+            H.Forest([H.parse(part)])
+            took[name, len(part) == len(page)] = time.process_time() - at
+    assert all(took[n, True] < 20 * took[n, False] + 1 for n in pages), took
+
+
+def test_what_is_left_open():
+    inner = lambda page: [x for _, x in H.parse(page).segments]
+    assert inner("<p>kept</p><script>var leaked = 'code';") == ["kept"]
+    assert inner("<p>kept</p><STYLE media=x>.a { color: red }<p>no</p>") == ["kept"]
+    assert inner("<p>kept</p><script>a</script ><p>3 < 4 & x <1</p><script src='>'>b</script\n>c") == ["kept", "3 < 4 & x <1", "c"]
+    assert inner("<html><head><meta a><title>t</title><body><p>in") == ["in"]
+    assert inner("<p title='a>b'>q<!-- x --> r<!--> s<svg>t") == ["q r st"]
+    assert inner("a <b never closed") == ["a <b never closed"]
+    assert inner('<p title="never closed>text<p>more') == ["text", "more"]
+    assert inner("<p>a<!-- to the end <p>b") == ["a"]
