@@ -20,7 +20,7 @@ from .plans import request
 from .plans.nodes import Match
 from .sources import json_lines, postings, snapshot
 from .storage import new_path
-from .streaming import fold, stream
+from .streaming import fold, rebuild, stream
 
 DIGITS = 6
 VECTORS = {name: [round(((i * 37 + s * 11) % 17 - 8) / 8.0, 4) for i in range(64)] for s, name in enumerate(("a", "b", "c"))}
@@ -89,8 +89,18 @@ def open_catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
     return catalog
 
 
+#: Collections with an index of their texts, which later queries of the session find again.
+_indexed: dict[tuple, Collection] = {}
+
+
 def _open(spark: SparkSession, sf_dir: str, name: str, *more: str) -> Collection:
-    return open_catalog(spark, sf_dir, name, *more)[name]
+    if name not in ("docs", "parts"):
+        return open_catalog(spark, sf_dir, name, *more)[name]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexed:
+        _indexed[key] = open_catalog(spark, sf_dir, name)[name].indexed()
+    held = _indexed[key]
+    return Collection(held.rows, held.schema, open_catalog(spark, sf_dir, name, *more) if more else held.catalog, held.digits, held.indexes)
 
 
 def _page(name: str, body: dict, *more: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -381,7 +391,7 @@ _add("hydrate", _hydrate, f"""WITH {ORDERS}, h AS (SELECT external_id, 2.0::DOUB
 SELECT row_number() OVER (ORDER BY h.external_id)::INT AS rank, h.external_id, score, o_totalprice, o_orderkey IS NOT NULL AS found FROM h LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON o_orderkey::VARCHAR = h.external_id""")
 _add("analyze_words", lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(analyzers.whitespace_lower(F.col("text"))).alias("n"), F.md5(F.array_join(analyzers.whitespace_lower(F.col("text")), " ")).alias("tokens")), f"WITH t AS (SELECT doc_id, {_WORDS.format(c='text')} AS toks FROM documents) SELECT doc_id, len(toks)::INT AS n, md5(array_to_string(toks, ' ')) AS tokens FROM t")
 _add("analyze_ngrams", lambda spark, d: table(spark, d, "part").select("p_partkey", F.array_join(analyzers.ngram(F.col("p_name")), "|").alias("grams")), f"SELECT p_partkey, array_to_string({_GRAMS.format(s=_SQUEEZED.format(c='p_name'))}, '|') AS grams FROM part")
-_add("route", lambda spark, d: table(spark, d, "customer").select("c_custkey", values.strict_date(F.date_format(F.lit("2024-02-28").cast("date") + (F.col("c_custkey") % 3).cast("int"), "yyyy-MM-dd")).alias("day"), values.strict_decimal(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), 8, 2).alias("balance")), "SELECT c_custkey, DATE '2024-02-28' + (c_custkey % 3)::INT AS day, c_acctbal::DECIMAL(8,2) AS balance FROM customer")
+_add("strict_values", lambda spark, d: table(spark, d, "customer").select("c_custkey", values.strict_date(F.date_format(F.lit("2024-02-28").cast("date") + (F.col("c_custkey") % 3).cast("int"), "yyyy-MM-dd")).alias("day"), values.strict_decimal(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), 8, 2).alias("balance")), "SELECT c_custkey, DATE '2024-02-28' + (c_custkey % 3)::INT AS day, c_acctbal::DECIMAL(8,2) AS balance FROM customer")
 _add(
     "unit_vectors", lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(F.get(vectors.normalized(F.col("embedding")), F.lit(0)), 6).alias("first"), F.round(vectors.norm(vectors.normalized(F.col("embedding"))), 6).alias("length")),
     "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, 1.0::DOUBLE AS length FROM embeddings",
@@ -487,6 +497,124 @@ _add("snapshot", _through_snapshot, f"WITH {CUSTOMERS} " + _one.format(t="cs", w
 _add("point_lookup", lambda spark, d: _open(spark, d, "orders").value("7", "total"), "SELECT o_totalprice AS total FROM orders WHERE o_orderkey = 7")
 
 
+# Routing and subsets. The SQL builds the checksum from its polynomial, a byte at a time.
+_CRC = """k AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tbl),
+b AS (SELECT *, list_concat(list_transform(range(1, length('customers') + 1), lambda i: ascii(substr('customers', i::BIGINT, 1))), [0], list_transform(range(1, length(external_id) + 1), lambda i: ascii(substr(external_id, i::BIGINT, 1)))) AS bytes FROM cs),
+r AS (SELECT b.*, (xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda c, x: xor(c // 256, tbl[(xor(c, x) % 256) + 1])), 4294967295) % {n})::INT AS bucket FROM b, k)"""
+_add("route", lambda spark, d: _open(spark, d, "customers").rows.select("external_id", values.route("customers", F.col("external_id"), 1024).alias("bucket")), f"WITH {CUSTOMERS}, {_CRC.format(n=1024)} SELECT external_id, bucket FROM r")
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard that gave buckets away and was given one back with other balances."""
+    rows = _open(spark, sf_dir, "customers").rows
+    own = snapshot.keep_buckets(rows, "customers", [0, 1, 2, 3, 4], 16)
+    back = snapshot.of_buckets(rows, "customers", [4, 7], 16).withColumn("balance", F.lit(0.0))
+    return snapshot.add_subset(own, back).select("external_id", "balance")
+
+
+_add("bucket_subset", _moved, f"WITH {CUSTOMERS}, {_CRC.format(n=16)} SELECT external_id, CASE WHEN bucket IN (4, 7) THEN 0.0::DOUBLE ELSE balance END AS balance FROM r WHERE bucket <= 4 OR bucket = 7")
+
+# Long lists of ids, the third analyzer, requests in their older form.
+_add("ids_many", _all("orders", {"ids": {"values": [str(i) for i in range(1, 24001, 2)]}}), f"WITH {ORDERS} " + _one.format(t="os", w="external_id::BIGINT % 2 = 1 AND external_id::BIGINT < 24001"))
+_add(
+    "analyze_pairs", lambda spark, d: table(spark, d, "part").select("p_partkey", F.array_join(analyzers.analyze(F.concat(F.lit("\u6f22\u5b57\u304b A\uac00 "), F.col("p_name")), "jieba"), "|").alias("tokens")),
+    f"SELECT p_partkey, array_to_string(list_concat(['\u6f22\u5b57', '\u5b57\u304b', 'a', '\uac00'], {_WORDS.format(c='p_name')}), '|') AS tokens FROM part",
+)
+_add(
+    "migrated", lambda spark, d: _open(spark, d, "docs").search(request.migrate({"query": {"and": [{"match": {"field": "text", "text": "the of", "op": "or"}}, {"term": {"field": "source", "value": "src3"}}]}, "limit": 30})).hits.select("external_id", "score"),
+    SQL["scoring_and_filter"],
+)
+_add(
+    "knn_quantized_filtered", _page("vectors_sq", {"query": {"and": [{"knn": {"field": "embedding", "vector": VECTORS["a"], "k": 15}}, {"range": {"field": "label", "lte": 3}}]}}),
+    f"""WITH r AS (SELECT min(list_min(embedding))::DOUBLE AS lo, max(list_max(embedding))::DOUBLE AS hi FROM embeddings),
+q AS (SELECT vec_id, list_transform(embedding, lambda x: round((x::DOUBLE - lo) / (hi - lo) * 255) * (hi - lo) / 255 + lo) AS e FROM embeddings, r WHERE label <= 3)
+SELECT vec_id::VARCHAR AS external_id, round(list_cosine_similarity(e, {_vec(VECTORS['a'])}), 6) AS score FROM q {_TOP.format(n=15)}""",
+)
+
+
+# Writes that end or repeat others.
+def _as_changes(spark: SparkSession, sf_dir: str, op, **more) -> tuple[DataFrame, object]:
+    changes, schema = _changes(spark, sf_dir)
+    changes = changes.withColumn("op", op).withColumn("items", F.array(F.lit("kind"), F.lit("value")))
+    return changes.withColumns(more), schema
+
+
+def _ended(op) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        changes, schema = _as_changes(spark, sf_dir, op)
+        return fold.live(fold.fold(fold.empty_state(spark, schema), changes, schema), schema)
+
+    return run
+
+
+_LAST = "SELECT user_id::VARCHAR AS external_id, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) AS value FROM {t} GROUP BY user_id"
+_add("fold_unindex", _ended(F.when(F.col("seq") % 50 == 0, "unindex").otherwise("merge")), f"WITH u AS (SELECT user_id AS k, max(event_id) AS u FROM events WHERE event_id % 50 = 0 GROUP BY user_id), x AS (SELECT * FROM events LEFT JOIN u ON user_id = k WHERE event_id > coalesce(u, -1)) {_LAST.format(t='x')}")
+_add("fold_truncate", _ended(F.when(F.col("seq") == 500, "truncate").otherwise("merge")), f"WITH x AS (SELECT * FROM events WHERE event_id > 500) {_LAST.format(t='x')}")
+_VERSION = {"version": (F.col("seq") * 7919) % 1009}
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes, schema = _as_changes(spark, sf_dir, F.lit("replace"), **_VERSION)
+    return fold.live(fold.fold(fold.empty_state(spark, schema), changes, schema), schema)
+
+
+_add("fold_doc_versions", _replaced, SQL["fold_versions"])
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes, schema = _as_changes(spark, sf_dir, F.lit("replace"), **_VERSION)
+    return fold.outcomes(fold.empty_state(spark, schema), changes)
+
+
+_add("replace_outcomes", _outcomes, """WITH v AS (SELECT event_id AS seq, user_id::VARCHAR AS external_id, event_id * 7919 % 1009 AS version FROM events),
+w AS (SELECT *, max(version) OVER (PARTITION BY external_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM v)
+SELECT seq, external_id, CASE WHEN version <= top THEN 'dropped' ELSE 'ok' END AS outcome FROM w""")
+
+
+def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _open(spark, sf_dir, "customers")
+    fields = [F.col(n) if n != "balance" else F.when(F.col("external_id").cast("long") % 3 == 0, F.col(n) + 1).otherwise(F.col(n)).alias(n) for n in c.schema.fields]
+    return fold.unchanged(fold.as_state(c.rows, c.schema), c.rows.select("external_id", F.struct(*fields).alias("fields")), c.schema)
+
+
+_add("unchanged_fields", _unchanged, f"WITH {CUSTOMERS}, w AS (SELECT external_id, (external_id::BIGINT % 3 = 0)::INT AS written FROM cs) SELECT external_id, written, 4 - written AS skipped FROM w")
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sends of each request, of which the second counts only when the first is forgotten."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 37 % 5000)
+    changes, _ = _as_changes(spark, sf_dir, F.lit("merge"), request_id=F.floor(F.col("seq") / 2).cast("string"), at=at)
+    return fold.without_repeats(changes, 600).select("seq", "external_id")
+
+
+_add("request_repeats", _repeated, """WITH e AS (SELECT event_id AS seq, user_id::VARCHAR AS external_id, event_id // 2 AS r, event_id * 37 % 5000 AS sent FROM events),
+f AS (SELECT *, min(sent) OVER (PARTITION BY r) AS sent_first FROM e) SELECT seq, external_id FROM f WHERE sent = sent_first OR sent - sent_first > 600""")
+
+
+def _without_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark)
+    catalog.declare("x", {"part": "keyword", "rare": "number"}, _open(spark, sf_dir, "docs").rows)
+    return catalog.drop_field("x", "rare").rows
+
+
+_add("drop_field", _without_field, f"WITH {DOCS} SELECT external_id, part FROM docs WHERE part IS NOT NULL")
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild in two chunks; ids of the second win."""
+    catalog = open_catalog(spark, sf_dir, "customers")
+    c = catalog["customers"]
+    made = rebuild.Rebuild(catalog, "customers", c.schema, new_path(spark, "rebuild"))
+    made.start()
+    made.chunk(0, c.rows)
+    made.chunk(1, c.rows.where(F.col("nation") < 9).withColumn("balance", F.col("balance") * 2))
+    made.seal()
+    return made.finish().rows.select("external_id", "balance")
+
+
+_add("rebuild", _rebuilt, f"WITH {CUSTOMERS} SELECT external_id, CASE WHEN nation < 9 THEN balance * 2 ELSE balance END AS balance FROM cs")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q["filtered_match"](spark, sf_dir)
 

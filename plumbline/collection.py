@@ -14,8 +14,10 @@ from .functions.text import analyze
 from .operators import facets, groups, nearest
 from .plans import paging
 from .plans.compiler import SCORE, Compiler
-from .plans.request import MAX_SEARCHES, Request, check_sort, parse
+from .plans.request import MAX_LIMIT, MAX_SEARCHES, Request, check_sort, parse
 from .schema import CollectionSchema
+from .sources.postings import Indexes
+from .storage import new_path
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,8 @@ class Collection:
     """Documents with an `external_id` and the declared fields (all nullable); a row without any value is not live and
     must not be among them (writes see to that). Columns that are not declared are left out."""
 
-    def __init__(self, rows: DataFrame, schema: CollectionSchema | Mapping, catalog=None, digits: int | None = None):
+    def __init__(self, rows: DataFrame, schema: CollectionSchema | Mapping, catalog=None, digits: int | None = None, indexes: Indexes | None = None):
+        self.indexes = indexes
         self.schema = schema if isinstance(schema, CollectionSchema) else CollectionSchema.of(schema)
         missing = [n for n in ("external_id", *self.schema.fields) if n not in rows.columns]
         if missing:
@@ -72,6 +75,12 @@ class Collection:
         self.catalog = catalog
         self.digits = digits
 
+    def indexed(self, *fields: str) -> Collection:
+        """The same collection with postings of the text fields (all of them, if none is named). They are written to the
+        shared folder when a query first needs them, and later queries read the rows of their tokens alone."""
+        fields = fields or tuple(n for n, s in self.schema.fields.items() if s.stored == "text")
+        return Collection(self.rows, self.schema, self.catalog, self.digits, Indexes(self.rows, self.schema, fields, new_path))
+
     def _child(self, name: str) -> tuple[DataFrame, CollectionSchema]:
         if self.catalog is None:
             raise QueryError("collection_not_found", f"no collection {name!r}")
@@ -81,13 +90,13 @@ class Collection:
     def matched(self, request: Request) -> DataFrame:
         """The whole match set of a request with `__score` (null for hits that only a filter selected)."""
         if not request.split:
-            return Compiler(self.rows, self.schema, self._child, digits=self.digits).scored(request.query)
+            return Compiler(self.rows, self.schema, self._child, digits=self.digits, indexes=self.indexes).scored(request.query)
         rows = self.rows
         if request.filter is not None:
-            rows = Compiler(rows, self.schema, self._child).scored(request.filter).drop(SCORE)
+            rows = Compiler(rows, self.schema, self._child, indexes=self.indexes).scored(request.filter).drop(SCORE)
         if request.scoring is None:
             return rows.withColumn(SCORE, F.lit(None).cast("double"))
-        return Compiler(rows, self.schema, self._child, corpus=self.rows, digits=self.digits).scored(request.scoring)
+        return Compiler(rows, self.schema, self._child, corpus=self.rows, digits=self.digits, indexes=self.indexes).scored(request.scoring)
 
     def search(self, body: Mapping | Request, unlimited: bool = False) -> Found:
         """Run a request. `unlimited`: every hit, without the bounds of a page (see search_all)."""
@@ -170,11 +179,12 @@ class Collection:
         return self.rows.where(F.col("external_id") == external_id).select(field)
 
     def hydrate(self, hits: DataFrame, source: DataFrame, key: str = "external_id") -> DataFrame:
-        """Hits beside their source rows, in hit order; `found` is false where the source has none."""
+        """The best MAX_LIMIT hits, a page's bound, beside their source rows, in hit order; `found` is false where the
+        source has none. For all hits of a search, join them with the source: they have no order to keep."""
         from pyspark.sql import Window
 
-        order = Window.orderBy(F.col("score").desc_nulls_last(), "external_id")
-        ranked = hits.withColumn("rank", F.row_number().over(order))  # a page of hits, MAX_LIMIT at most
+        order = [F.col("score").desc_nulls_last(), "external_id"]
+        ranked = hits.orderBy(*order).limit(MAX_LIMIT).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
         side = source.withColumn("found", F.lit(True))
         out = ranked.join(side, ranked["external_id"] == side[key], "left")
         out = out.drop(side[key]) if key == "external_id" else out

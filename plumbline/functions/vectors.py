@@ -53,11 +53,12 @@ def nearness(a: Column, b: Column, metric: str, b_norm: Column | None = None) ->
     raise QueryError("bad_request", f"unknown metric {metric!r}")
 
 
-def quantize(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds `out`: the vectors as they read back from one byte a component, over the range of all components.
+def quantize(df: DataFrame, column: str, out: str, corpus: DataFrame | None = None) -> DataFrame:
+    """Adds `out`: the vectors as they read back from one byte a component, over the range of all components of
+    `corpus` (df itself if not given).
 
     The range is one row, taken as a scalar subquery, so the plan stays lazy."""
-    ends = df.select(F.array_min(column).alias("lo"), F.array_max(column).alias("hi")).agg(F.min("lo").cast("double").alias("lo"), F.max("hi").cast("double").alias("hi"))
+    ends = (df if corpus is None else corpus).select(F.array_min(column).alias("lo"), F.array_max(column).alias("hi")).agg(F.min("lo").cast("double").alias("lo"), F.max("hi").cast("double").alias("hi"))
     with_ends = df.withColumn("__sq", ends.select(F.struct("lo", "hi")).scalar())
     lo, span = F.col("__sq.lo"), F.col("__sq.hi") - F.col("__sq.lo")
     code = lambda x: F.when(span > 0, F.round((x.cast("double") - lo) / span * 255.0)).otherwise(F.lit(0.0))

@@ -39,7 +39,8 @@ def _none() -> Column:
 class Compiler:
     """One tree over one collection. `base` are the live rows the query may hit; statistics come from `corpus`."""
 
-    def __init__(self, base: DataFrame, schema: CollectionSchema, children: Callable[[str], tuple[DataFrame, CollectionSchema]], corpus: DataFrame | None = None, digits: int | None = None):
+    def __init__(self, base: DataFrame, schema: CollectionSchema, children: Callable[[str], tuple[DataFrame, CollectionSchema]], corpus: DataFrame | None = None, digits: int | None = None, indexes=None):
+        self.indexes = indexes
         self.base, self.schema, self.children, self.digits = base, schema, children, digits
         self.corpus = base if corpus is None else corpus
         self.rows = base
@@ -135,6 +136,8 @@ class Compiler:
             return self.distance(node) <= min(node.max_distance, 64)
         if isinstance(node, (N.Match, N.Phrase, N.Fuzzy)):
             spec = self.schema.need(node.field, "match")
+            if self.index_of(node) is not None:
+                return None
             c = F.col(node.field)
             if spec.analyzer != "whitespace_lower" or isinstance(node, N.Fuzzy):
                 return c.isNotNull()
@@ -175,7 +178,7 @@ class Compiler:
         if isinstance(node, N.Bool):
             return self.lexical_bool(node)
         if isinstance(node, (N.Match, N.Phrase, N.Fuzzy)):
-            return self.lexical_score(node)
+            return self.lexical_score(node, top)
         if isinstance(node, N.Hamming):
             d = self.distance(node)
             return F.when(d <= min(node.max_distance, 64), (64 - d) / 64.0)
@@ -212,7 +215,7 @@ class Compiler:
 
     def apart(self, node: N.Node) -> DataFrame:
         """The rows of the whole base that match a node."""
-        return Compiler(self.base, self.schema, self.children, self.corpus, self.digits).scored(node)
+        return Compiler(self.base, self.schema, self.children, self.corpus, self.digits, self.indexes).scored(node)
 
     def sum_of_all(self, clauses: list[N.Node], top: bool) -> Column:
         parts = []
@@ -260,9 +263,9 @@ class Compiler:
         todo = [root]
         while todo:
             node = todo.pop()
-            if isinstance(node, (N.Match, N.Phrase, N.Fuzzy)):
+            if isinstance(node, (N.Match, N.Phrase, N.Fuzzy)) and self.index_of(node) is None:
                 by_field.setdefault(node.field, {}).update(dict.fromkeys(self.wanted(node)))
-            elif not isinstance(node, N.Rrf):  # its legs are queries of their own
+            elif not isinstance(node, (N.Rrf, N.Match, N.Phrase, N.Fuzzy)):  # its legs are queries of their own
                 todo += node.children
         for field, index in by_field.items():
             spec = self.schema[field]
@@ -276,13 +279,19 @@ class Compiler:
             self.tokens[field] = F.col(tok)
             self.stats[field] = (F.col(stat), index)
 
-    def lexical_score(self, node: N.Node) -> Column:
+    def index_of(self, node: N.Node):
+        return self.indexes.get(node.field) if self.indexes else None
+
+    def lexical_score(self, node: N.Node, top: bool = False) -> Column:
         wanted = self.wanted(node)
         if not wanted:
             return _none()
+        every = isinstance(node, N.Phrase) or getattr(node, "op", "or") == "and"
+        if (index := self.index_of(node)) is not None:
+            return self.attach(index.hits(wanted, every, isinstance(node, N.Phrase)), few=False, top=top)
         tok, (stats, index) = self.tokens[node.field], self.stats[node.field]
         parts = [lexical.contribution(lexical.count_of(tok, *w), F.size(tok), stats, index[w]) for w in wanted]
-        total = lexical.add_up(parts, every=isinstance(node, N.Phrase) or getattr(node, "op", "or") == "and")
+        total = lexical.add_up(parts, every=every)
         if isinstance(node, N.Phrase) and len(wanted) > 1:
             total = F.when(lexical.has_phrase(tok, [w for w, _ in wanted]), total)
         return total
@@ -310,7 +319,8 @@ class Compiler:
         if spec.quantize == "sq":
             from ..functions.vectors import quantize
 
-            allowed = quantize(allowed, node.field, node.field)
+            # The range is that of all the collection's vectors, whatever a filter leaves.
+            allowed = quantize(allowed, node.field, node.field, self.corpus)
         found = nearest.top_k(allowed, node.field, vector, spec.metric, node.k, self.digits)
         return self.attach(found, few=True, top=top)  # k rows, MAX_K at most
 

@@ -1,64 +1,151 @@
-"""Postings files: an inverted index of a text field for corpora where analysing every text per query is too much.
+"""Postings files: an inverted index of a text field, so that a query reads the rows of its own tokens only.
 
-A row is (token, external_id, tf, dl). Rows are range-sorted by token, so a query's tokens are found through Parquet
-statistics and dictionary filters, reading the row groups of those tokens only; a frequent token spans many files and is
-read by many tasks. Corpus statistics are two numbers, kept beside.
+A row is (token, external_id, tf, dl, positions). Rows are range-sorted by token, so a query's tokens are found through
+Parquet statistics and dictionary filters, reading the row groups of those tokens only; a frequent token spans many
+files and is read by many tasks. Beside them lie the terms (token, df), sorted too, and the two numbers of the corpus.
+A collection that has an index answers its lexical nodes from it (see `Postings` and `Collection.indexed`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
+from functools import cached_property, reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..collection import Collection
+from ..functions.text import analyze
 from ..operators import lexical
 from ..plans.nodes import Match
 
 
-def build(collection: Collection, field: str, path: str) -> None:
-    tokens = collection.tokens(field)
+def build(collection, field: str, path: str) -> None:
+    write(collection.tokens(field), path)
+
+
+def write(tokens: DataFrame, path: str) -> None:
+    """Write the index of (external_id, tokens)."""
     spark = tokens.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Counting inside the row needs no shuffle: distinct tokens of the array, each with how often it is there.
-    each = tokens.select("external_id", F.size("tokens").alias("dl"), F.explode(_counts(F.col("tokens"))).alias("x"))
-    rows = each.select(F.col("x.token").alias("token"), "external_id", F.col("x.tf").alias("tf"), "dl")
+    # Counting inside the row needs no shuffle: distinct tokens of the array, each with the places where it stands.
+    each = tokens.select("external_id", F.size("tokens").alias("dl"), F.explode(_places(F.col("tokens"))).alias("x"))
+    rows = each.select(F.col("x.token").alias("token"), "external_id", F.size("x.positions").alias("tf"), "dl", F.col("x.positions").alias("positions"))
     rows.repartitionByRange(n, "token", "external_id").sortWithinPartitions("token", "external_id").write.mode("overwrite").parquet(f"{path}/postings")
+    terms = spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    terms.repartitionByRange(n, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/terms")
     tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
-def _counts(tokens):
-    """array<struct<token, tf>>: runs of the sorted tokens."""
-    ordered = F.array_sort(tokens)
-    bind = F.transform(F.array(ordered), lambda s: F.transform(F.filter(F.transform(s, lambda x, i: F.struct(x.alias("t"), i.alias("i"), F.when(i == 0, True).otherwise(F.get(s, i - 1) != x).alias("new"))), lambda y: y["new"]), lambda y: F.struct(y["t"].alias("t"), y["i"].alias("i"))))
-    starts = F.get(bind, F.lit(0))
-    n = F.size(tokens)
-    sized = F.transform(F.array(starts), lambda s: F.transform(s, lambda y, k: F.struct(y["t"].alias("token"), (F.coalesce(F.get(s, k + 1)["i"], n) - y["i"]).cast("int").alias("tf"))))
-    return F.get(sized, F.lit(0))
+def _places(tokens: Column) -> Column:
+    """array<struct<token, positions>>: runs of the sorted tokens, each of which keeps where it stood."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    ordered = F.array_sort(F.transform(tokens, lambda x, i: F.struct(x.alias("t"), i.alias("p"))))
+
+    def runs(s: Column) -> Column:
+        marked = F.transform(s, lambda x, i: F.struct(i.alias("i"), ((i == 0) | (F.get(s, i - 1)["t"] != x["t"])).alias("new")))
+        starts = F.transform(F.filter(marked, lambda y: y["new"]), lambda y: y["i"])
+        of = lambda b, i, k: F.struct(
+            F.get(s, i)["t"].alias("token"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i), lambda x: x["p"]).alias("positions")
+        )
+        return let(starts, lambda b: F.transform(b, lambda i, k: of(b, i, k)))
+
+    return let(ordered, runs)
+
+
+class Postings:
+    """The index at a path. It is that of one version of the rows; whoever changes them writes another."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    @cached_property
+    def corpus(self) -> tuple[int, int]:
+        """How many documents have a value, and how many tokens those hold: one row, read once."""
+        row = self.spark.read.parquet(f"{self.path}/corpus").first()
+        return row["n"], row["total"]
+
+    def hits(self, wanted: list[tuple[str, int]], every: bool, phrase: bool = False) -> DataFrame:
+        """(external_id, score) of the documents that hold any (or every) one of the (token, edits) wanted; a repeated
+        one counts again. `phrase`: only where they stand one behind the other."""
+        index = list(dict.fromkeys(wanted))
+        weight = Counter(wanted)
+        number = {w: i for i, w in enumerate(index)}
+        legs = [self._exact([w for w in index if not w[1]], number, weight)] if any(not e for _, e in index) else []
+        legs += [self._near(w, number[w], weight[w]) for w in index if w[1]]
+        parts = legs[0]
+        for leg in legs[1:]:
+            parts = parts.unionByName(leg)
+        if len(index) == 1 and not (phrase and len(wanted) > 1):
+            return parts.select("external_id", F.col("part").alias("score"))
+        # Parts are added in the order of the query's tokens, so that the sum does not depend on the order of rows.
+        take = lambda i, c: F.max(F.when(F.col("at") == i, F.col(c)))
+        cols = [take(i, "part").alias(f"p{i}") for i in range(len(index))]
+        places = [take(i, "positions").alias(f"q{i}") for i in range(len(index))] if phrase else []
+        found = parts.groupBy("external_id").agg(F.count(F.lit(1)).alias("m"), *cols, *places)
+        if every or phrase:
+            found = found.where(F.col("m") == len(index))
+        if phrase:
+            behind = lambda p: reduce(and_, [F.array_contains(f"q{number[w]}", p + k) for k, w in enumerate(wanted) if k])
+            found = found.where(F.exists(f"q{number[wanted[0]]}", behind))
+        return found.select("external_id", lexical.add_up([F.col(f"p{i}") for i in range(len(index))], every=False).alias("score"))
+
+    def _stats(self, df: DataFrame) -> Column:
+        """The corpus numbers beside a row of document frequencies, as one scalar struct."""
+        n, total = self.corpus
+        return df.select(F.struct(F.lit(n).alias("n"), F.lit(total).alias("total"), *df.columns)).scalar()
+
+    def _exact(self, index: list[tuple[str, int]], number: dict, weight: Counter) -> DataFrame:
+        words = [t for t, _ in index]
+        mine = F.col("token").isin(words)
+        df = self.terms.where(mine).agg(*[F.coalesce(F.max(F.when(F.col("token") == t, F.col("df"))), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(words)])
+        out = self.posts.where(mine).withColumn("s", self._stats(df))
+        part = at = None
+        for i, w in enumerate(index):
+            is_it = F.col("token") == w[0]
+            one = lexical.contribution(F.col("tf"), F.col("dl"), F.col("s"), i) * float(weight[w])
+            part = F.when(is_it, one) if part is None else part.when(is_it, one)
+            at = F.when(is_it, number[w]) if at is None else at.when(is_it, number[w])
+        return out.select("external_id", at.alias("at"), part.alias("part"), "positions")
+
+    def _near(self, w: tuple[str, int], at: int, weight: int) -> DataFrame:
+        close = self.terms.where(lexical.near(F.col("token"), *w)).select("token")
+        each = self.posts.join(close, "token", "left_semi").groupBy("external_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+        out = each.withColumn("s", self._stats(each.agg(F.count(F.lit(1)).alias("df_0"))))
+        one = lexical.contribution(F.col("tf"), F.col("dl"), F.col("s"), 0) * float(weight)
+        return out.select("external_id", F.lit(at).alias("at"), one.alias("part"), F.lit(None).cast("array<int>").alias("positions"))
+
+
+class Indexes:
+    """The indexes of a collection's text fields, each written when a query first needs it."""
+
+    def __init__(self, rows: DataFrame, schema, fields: tuple[str, ...], new_path):
+        self.rows, self.schema, self.fields, self.new_path = rows, schema, fields, new_path
+        self.made: dict[str, Postings] = {}
+
+    def get(self, field: str) -> Postings | None:
+        if field not in self.fields:
+            return None
+        if field not in self.made:
+            spec = self.schema.need(field, "match")
+            path = self.new_path(self.rows.sparkSession, f"index-{field}")
+            write(self.rows.where(F.col(field).isNotNull()).select("external_id", analyze(F.col(field), spec.analyzer).alias("tokens")), path)
+            self.made[field] = Postings(self.rows.sparkSession, path)
+        return self.made[field]
 
 
 def search(spark: SparkSession, path: str, match: Match, analyzer: str = "whitespace_lower") -> DataFrame:
-    """(external_id, score) of all hits of a match, from the postings alone. Repeated query tokens count again."""
+    """(external_id, score) of all hits of a match, from the postings alone."""
     tokens = lexical.query_tokens(spark, match.text, analyzer)
-    distinct = list(dict.fromkeys(tokens))
-    posts = spark.read.parquet(f"{path}/postings").where(F.col("token").isin(distinct) if distinct else F.lit(False))
-    corpus = spark.read.parquet(f"{path}/corpus")
-    # df of at most the query's tokens, as one scalar struct; the filter reaches the scan of either use.
-    df = posts.agg(*[F.count(F.when(F.col("token") == t, 1)).alias(f"df_{i}") for i, t in enumerate(distinct)] or [F.count(F.lit(1)).alias("none")])
-    both = df.select(corpus.select("n").scalar().alias("n"), corpus.select("total").scalar().alias("total"), *df.columns)
-    stats = both.select(F.struct(*both.columns)).scalar()
-    out = posts.withColumn("__stats", stats)
-    s = F.col("__stats")
-    part = None
-    for i, t in enumerate(distinct):
-        one = lexical.contribution(F.col("tf"), F.col("dl"), s, i) * float(tokens.count(t))
-        part = F.when(F.col("token") == t, one) if part is None else part.when(F.col("token") == t, one)
-    if part is None:
-        return posts.select("external_id", F.lit(0.0).alias("score"))
-    # The parts are added in the order of the query's tokens, so the sum does not depend on the order of rows.
-    place = F.array_position(F.array(*map(F.lit, distinct)), F.col("token"))
-    parts = out.select("external_id", place.alias("at"), part.alias("part"))
-    cols = [F.max(F.when(F.col("at") == i + 1, F.col("part"))).alias(f"p{i}") for i in range(len(distinct))]
-    hits = parts.groupBy("external_id").agg(F.count(F.lit(1)).alias("m"), *cols)
-    if match.op == "and":
-        hits = hits.where(F.col("m") == len(distinct))
-    return hits.select("external_id", lexical.add_up([F.col(f"p{i}") for i in range(len(distinct))], every=False).alias("score"))
+    index = Postings(spark, path)
+    if not tokens:
+        return index.posts.where(F.lit(False)).select("external_id", F.lit(0.0).alias("score"))
+    return index.hits([(t, 0) for t in tokens], every=match.op == "and")
