@@ -36,6 +36,8 @@ LEAF = 128
 BRANCH = 16
 BLOCK = 512
 CALIBRATION = 128
+#: Entries kept beyond the k asked for, before scores are taken anew; one is the query itself.
+SPARE = 6
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -281,15 +283,18 @@ def _search_length(entries: DataFrame, rows: DataFrame, dim: int, k: int, target
 
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     stats = entries.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
-    by_hash = lambda df, n: np.array([r["vec"] for r in df.orderBy(F.xxhash64("cid"), "cid").limit(n).select("vec").collect()], np.float64)
+    # Ids are distinct, so a filter on their hash keeps about so many in all, and little more reaches the driver.
+    share = lambda df, n, of: df.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(of)) < 2 * n) if of > 2 * n else df
+    first = lambda df, n, of: share(df, n, of).orderBy(F.xxhash64("cid"), "cid").limit(n).collect()
     top = stats["top"]
-    tree = Tree(_lift(by_hash(entries.select("cid", "vec"), SAMPLE), top), min(MAX_LEAVES, max(1, stats["n"] // LEAF)))
+    some = np.array([r["vec"] for r in first(entries.select("cid", "vec"), SAMPLE, stats["n"])], np.float64)
+    tree = Tree(_lift(some, top), min(MAX_LEAVES, max(1, stats["n"] // LEAF)))
     kind = entries.schema["vec"].dataType.simpleString()
     leaves = entries.select("cid", "vec").mapInArrow(_assign(tree, top, dim), f"cid long, vec {kind}, leaf int")
     leaves = common.materialize(leaves, "leaves")
 
     # Calibration: in which place of a query's walk are the leaves of its true neighbours?
-    probe = q.orderBy(F.xxhash64("cid"), "cid").limit(CALIBRATION).collect()
+    probe = first(q, CALIBRATION, q.count())
     pid, pq = np.array([r["cid"] for r in probe], np.int64), np.array([r["vec"] for r in probe], np.float64).reshape(-1, dim)
     best = leaves.select("cid", "vec").mapInArrow(_exact(pid, pq, k + 1), "qid long, cid long, score double")
     place = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
@@ -301,11 +306,15 @@ def _search_length(entries: DataFrame, rows: DataFrame, dim: int, k: int, target
 
     routed = q.mapInArrow(_route(tree, visits, dim), "leaf int, qi array<long>, qm array<double>")
     met = routed.join(_packed(leaves, ("ids", "xm")), "leaf").select("qi", "qm", "ids", "xm")
-    found = met.mapInArrow(_score_blocks(dim, k + 1), "qid long, cid long, score double")
-    found = found.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
-    named = found.join(entries.select("cid", "ids"), "cid")
+    # Products of blocks round by the blocks' shape, so a few more are kept than asked for, and the scores of those are
+    # taken anew in the order of the components.
+    found = met.mapInArrow(_score_blocks(dim, k + SPARE), "qid long, cid long, score double")
+    found = found.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + SPARE)
+    named = found.select("qid", "cid").join(entries.select("cid", "ids", "vec"), "cid").join(q.select(F.col("cid").alias("qid"), F.col("vec").alias("qvec")), "qid")
+    product = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    named = named.select("qid", "ids", product.alias("score"))
     near = named.select("qid", "score", F.explode("ids").alias("id")).select("qid", F.struct((-F.col("score")).alias("s"), "id").alias("hit"))
-    near = near.groupBy("qid").agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # (k + 1)^2 at most
+    near = near.groupBy("qid").agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # (k + SPARE)^2 at most
     out = rows.join(near.withColumnRenamed("qid", "cid"), "cid")
     mine = F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k)
     out = out.select("query_id", F.posexplode(mine).alias("p", "hit"))

@@ -42,14 +42,15 @@ def _repeat_words(w):
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures of each whole text in columns named with the prefix."""
-    t = F.coalesce(docs[text], F.lit(""))
-    base = docs.withColumn(P + "w", common.words_of(docs[text]))
+    own = F.col(f"`{text}`")
+    t = F.coalesce(own, F.lit(""))
+    base = docs.withColumn(P + "w", common.words_of(own))
     w = F.col(P + "w")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, common.BLANKS, "") != "")
     pair = F.get(F.transform(F.array(lines), lambda v: F.struct(F.size(v).alias("n"), F.size(F.array_distinct(v)).alias("d"))), F.lit(0))
     return (
         base.select(
-            *docs.columns,
+            *[F.col(f"`{c}`") for c in docs.columns],
             F.size(w).cast("long").alias(P + "n_words"),
             F.length(F.translate(t, common.BLANKS, "")).cast("long").alias(P + "word_chars"),
             (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias(P + "n_symbols"),
@@ -82,7 +83,7 @@ def host_verdicts(judged: DataFrame, host: str = "source", host_limit: float = 0
     another. The prior needs four sums over hosts, which is all that reaches the driver.
     """
     per = common.materialize(
-        judged.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("\x00null")).alias(P + "host")).agg(
+        judged.groupBy(F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00null")).alias(P + "host")).agg(
             F.count("*").alias(P + "rows"), F.sum(F.col(P + "failed").cast("long")).alias(P + "bad")
         ),
         "hosts",
@@ -103,13 +104,13 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", carry
 
     The measured rows are written once to the shared folder: the host aggregate and the join back both read them.
     """
-    lean = docs if carry is None else docs.select(*dict.fromkeys([*carry, host, text]))
+    lean = docs if carry is None else docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, host, text])])
     judged = judge(measure(lean, text))
     if carry is not None:
         judged = judged.drop(*({text} - set(carry)))
     judged = common.materialize(judged, "quality")
     hosts = host_verdicts(judged, host, host_limit).select(P + "host", P + "rate", P + "host_rejected")
-    joined = judged.withColumn(P + "host", F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))).join(hosts, P + "host", "left")
+    joined = judged.withColumn(P + "host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00null"))).join(hosts, P + "host", "left")
     return joined.withColumn(P + "kept", ~F.col(P + "failed") & ~F.coalesce(F.col(P + "host_rejected"), F.lit(False))).drop(P + "host")
 
 

@@ -1,10 +1,11 @@
 """Sharding by fixed virtual slots (JVM only).
 
-Every record hashes to one of `n_slots` virtual slots. A versioned map says which shard owns each slot. Version n
-of the map (n shards) is derived from version n-1 by handing the new shard an equal share of its predecessors'
-slots, so a record's shard follows from its key and the shard count alone (law `key`), and growth moves rows only
-into the new shard. Bytes and rows are aggregated per slot (n_slots rows whatever the corpus size) and kept beside
-the map; `rebalance` edits a map by those bytes where equal sizes matter more than stable keys.
+Every record hashes to one of `n_slots` virtual slots. A stored, versioned map says which shard owns each slot.
+Version n of the map (n shards) is derived from version n-1 by handing the new shard an equal share of its
+predecessors' slots, so a record's shard follows from its key and the shard count alone (law `key`), and growth moves
+rows only into the new shard. Bytes and rows are aggregated per slot (n_slots rows whatever the corpus size); a
+rebalance edits the latest version by those bytes and stores it as the next one (`SlotMaps.rebalance`). The query
+stores the maps of n and n+1 shards and an edited one, reads them back, and gives each record's owner under all three.
 
 Defined cases: a null text counts no bytes and has crc32 0 (size 1); a null key hashes as the empty string; rows
 that repeat a key share its shard and get different positions; empty tables give empty results; other columns of
@@ -54,10 +55,25 @@ def rebalance(owner: list[int], slot_bytes: list[int], n_shards: int) -> list[in
     return owner
 
 
-def map_table(spark: SparkSession, n_shards: int, n_slots: int = N_SLOTS, versions: int = 2) -> DataFrame:
-    """(version, vslot, owner) for `versions` shard counts from n_shards up; the version is the shard count."""
-    rows = [(n, s, o) for n in range(n_shards, n_shards + versions) for s, o in enumerate(slot_map(n, n_slots))]
-    return spark.createDataFrame(rows, "version int, vslot int, owner int")
+class SlotMaps:
+    """Versions of a slot map on storage: (version, n_shards, vslot, owner), each version written once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, version: int, owner: list[int], n_shards: int) -> None:
+        rows = [(n_shards, s, o) for s, o in enumerate(owner)]
+        made = self.spark.createDataFrame(rows, "n_shards int, vslot int, owner int").coalesce(1)
+        made.write.mode("errorifexists").parquet(f"{self.path}/version={version}")
+
+    def read(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/version={version}")
+
+    def rebalance(self, version: int, slot_bytes: DataFrame, to: int) -> None:
+        """Store version `to`: `version` edited by (vslot, slot_bytes). Both are n_slots rows, whatever the corpus."""
+        rows = self.read(version).join(F.broadcast(slot_bytes), "vslot", "left").orderBy("vslot").collect()
+        n = rows[0]["n_shards"]
+        self.write(to, rebalance([r["owner"] for r in rows], [r["slot_bytes"] or 0 for r in rows], n), n)
 
 
 def virtual_slot(key, n_slots: int = N_SLOTS):
@@ -65,35 +81,40 @@ def virtual_slot(key, n_slots: int = N_SLOTS):
 
 
 def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc key, size, text_crc32, law, shard, slot (position in the shard, gapless from 0), grown_shard, vslot.
+    """doc key, size, text_crc32, law, shard, slot (position in the shard, gapless from 0), grown_shard, vslot, and
+    rebalanced_shard, the owner under the map edited by bytes.
 
-    One shuffle of 24-byte rows by virtual slot; positions come from row numbers inside a slot (1/n_slots of the
-    rows) plus the slot's offset in its shard, so no task sees a whole shard. The joined tables have n_slots rows,
-    a constant, which is why they are broadcast.
+    Positions are counted in two levels: rows of a slot inside a block of 65,536 rows as they were written, then blocks
+    in order, so a key that a third of all rows hold meets in no task. The joined maps have n_slots rows, a constant,
+    which is why they are broadcast.
     """
     spark = docs.sparkSession
-    raw = F.encode(F.coalesce(docs[text], F.lit("")), "UTF-8")
-    lean = common.materialize(
-        docs.select(
-            docs[key].alias("doc_id"),
-            (F.octet_length(F.coalesce(docs[text], F.lit(""))) + 1).cast("long").alias("size"),
-            F.crc32(raw).alias("text_crc32"),
-            virtual_slot(docs[key], n_slots).alias("vslot"),
-        ),
-        "sizes",
-    )
-    maps = map_table(spark, n_shards, n_slots)
-    now, grown = (maps.where(F.col("version") == n).select("vslot", F.col("owner").alias(c)) for n, c in ((n_shards, "shard"), (n_shards + 1, "grown_shard")))
-    per_slot = lean.groupBy("vslot").agg(F.count("*").alias("slot_rows"), F.sum("size").alias("slot_bytes"))
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    at = (
-        per_slot.join(F.broadcast(now), "vslot")
-        .join(F.broadcast(grown), "vslot")
-        .withColumn("first", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)))
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    lean = docs.select(
+        F.col(f"`{key}`").alias("doc_id"),
+        (F.octet_length(own) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(own, "UTF-8")).alias("text_crc32"),
+        virtual_slot(F.col(f"`{key}`"), n_slots).alias("vslot"),
     )
-    inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    lean = common.materialize(lean.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    lean = lean.withColumn("block", F.shiftright("row", 16))
+    cells = common.materialize(lean.groupBy("vslot", "block").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "cells")
+    per_slot = cells.groupBy("vslot").agg(F.sum("n").alias("slot_rows"), F.sum("bytes").alias("slot_bytes"))
+    maps = SlotMaps(spark, common.new_path(spark, "maps"))
+    for n in (n_shards, n_shards + 1):
+        maps.write(n, slot_map(n, n_slots), n)
+    edited = n_shards + 2
+    maps.rebalance(n_shards, per_slot.select("vslot", "slot_bytes"), edited)
+    owners = maps.read(n_shards).select("vslot", F.col("owner").alias("shard"))
+    for version, name in ((n_shards + 1, "grown_shard"), (edited, "rebalanced_shard")):
+        owners = owners.join(F.broadcast(maps.read(version).select("vslot", F.col("owner").alias(name))), "vslot")
+    upto = lambda *by: Window.partitionBy(by[0]).orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    at = per_slot.join(F.broadcast(owners), "vslot").withColumn("first", F.coalesce(F.sum("slot_rows").over(upto("shard", "vslot")), F.lit(0)))
+    blocks = cells.select("vslot", "block", F.coalesce(F.sum("n").over(upto("vslot", "block")), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("block", "vslot").orderBy("row")
     return (
         lean.withColumn("place", F.row_number().over(inside) - 1)
+        .join(blocks, ["vslot", "block"])
         .join(F.broadcast(at), "vslot")
         .select(
             "doc_id",
@@ -101,9 +122,10 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, key: str =
             "text_crc32",
             F.lit("key").alias("law"),
             "shard",
-            (F.col("first") + F.col("place")).cast("long").alias("slot"),
+            (F.col("first") + F.col("before") + F.col("place")).cast("long").alias("slot"),
             "grown_shard",
             "vslot",
+            "rebalanced_shard",
         )
     )
 
@@ -113,11 +135,12 @@ def slot_report(sharded: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     return sharded.groupBy("vslot", "shard").agg(F.count("*").alias("slot_rows"), F.sum("size").alias("slot_bytes"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8, n_slots: int = N_SLOTS, key: str = "doc_id") -> None:
-    """Write whole records partitioned by shard, and the slot map they follow to `<path>/_map`."""
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, n_slots: int = N_SLOTS, key: str = "doc_id", version: int = 1) -> None:
+    """Write whole records partitioned by shard, and the slot map they follow as a version beside them."""
     spark = docs.sparkSession
-    now = map_table(spark, n_shards, n_slots, 1).select("vslot", F.col("owner").alias("shard"))
-    name = "vslot"
-    dealt = docs.withColumn(name, virtual_slot(docs[key], n_slots)).join(F.broadcast(now), name)
-    dealt.repartition("shard", name).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/data")
-    map_table(spark, n_shards, n_slots, 1).coalesce(1).write.mode("overwrite").parquet(f"{path}/_map")
+    maps = SlotMaps(spark, f"{path}/_map")
+    maps.write(version, slot_map(n_shards, n_slots), n_shards)
+    name = "__h_vslot"
+    now = maps.read(version).select(F.col("vslot").alias(name), F.col("owner").alias("shard"))
+    dealt = docs.withColumn(name, virtual_slot(F.col(f"`{key}`"), n_slots)).join(F.broadcast(now), name)
+    dealt.repartition("shard", name).drop(name).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/data/version={version}")

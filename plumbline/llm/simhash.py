@@ -86,8 +86,11 @@ def _add_fingerprints(text_at: int, drop_text: bool, n_words: int, seed: int):
 def add_fingerprints(docs: DataFrame, text: str = "text", drop_text: bool = False, n_words: int = 4, seed: int = 42) -> DataFrame:
     """docs with the signed 64-bit pattern of each text's fingerprint in `__s_fp`."""
     at = docs.columns.index(text)
-    fields = [f for i, f in enumerate(docs.schema.fields) if not (drop_text and i == at)]
-    return docs.mapInArrow(_add_fingerprints(at, drop_text, n_words, seed), T.StructType([*fields, T.StructField(P + "fp", T.LongType())]))
+    names = [n for i, n in enumerate(docs.columns) if not (drop_text and i == at)]
+    plain = docs.toDF(*[f"{P}c{i}" for i in range(len(docs.columns))])  # names with dots do not reach mapInArrow
+    fields = [f for i, f in enumerate(plain.schema.fields) if not (drop_text and i == at)]
+    made = plain.mapInArrow(_add_fingerprints(at, drop_text, n_words, seed), T.StructType([*fields, T.StructField(P + "fp", T.LongType())]))
+    return made.toDF(*names, P + "fp")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:

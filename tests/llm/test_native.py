@@ -112,5 +112,36 @@ def test_slot_maps_grow_into_the_new_shard_only():
 
 def test_written_shards_hold_every_row(spark, docs, tmp_path):
     sharding.write_shards(docs.drop("shard"), str(tmp_path / "s"), 4)
-    assert spark.read.parquet(str(tmp_path / "s" / "data")).count() == docs.count()
-    assert spark.read.parquet(str(tmp_path / "s" / "_map")).count() == sharding.N_SLOTS
+    assert spark.read.parquet(str(tmp_path / "s" / "data" / "version=1")).count() == docs.count()
+    assert sharding.SlotMaps(spark, str(tmp_path / "s" / "_map")).read(1).count() == sharding.N_SLOTS
+
+
+def test_stored_maps_are_edited_by_bytes(spark, tmp_path):
+    maps = sharding.SlotMaps(spark, str(tmp_path))
+    maps.write(1, sharding.slot_map(4, 64), 4)
+    load = [(s, 1000 if s % 9 == 0 else 10) for s in range(60)]
+    maps.rebalance(1, spark.createDataFrame(load, "vslot int, slot_bytes long"), 2)
+    old, new = ({r["vslot"]: r["owner"] for r in maps.read(v).collect()} for v in (1, 2))
+    spread = lambda m: (lambda t: max(t) - min(t))([sum(b for s, b in load if m[s] == o) for o in range(4)])
+    assert spread(new) <= spread(old) and old == dict(enumerate(sharding.slot_map(4, 64))) and len(new) == 64
+    with pytest.raises(Exception):
+        maps.write(2, sharding.slot_map(4, 64), 4)  # a version is written once
+
+
+def test_one_key_may_hold_most_rows(spark):
+    docs = spark.range(0, 3000, 1, 5).selectExpr("CASE WHEN id % 3 > 0 THEN 7L ELSE id END AS doc_id", "CASE WHEN id % 2 = 0 THEN 'x' END AS text")
+    got = sharding.shard(docs).collect()
+    for s in {g.shard for g in got}:
+        own = sorted(g.slot for g in got if g.shard == s)
+        assert own == list(range(len(own)))
+    assert len({g.shard for g in got if g.doc_id == 7}) == 1 and {g.rebalanced_shard for g in got} <= set(range(8))
+
+
+def test_dotted_and_clashing_names_pass_through(spark, docs):
+    from plumbline.llm import near_copies, packing, simhash, suffix_dedup
+
+    odd = docs.limit(20).withColumn("a.b", docs["n_chars"]).withColumn("__s_fp", docs["lang"]).withColumn("key", docs["lang"]).withColumn("row", docs["lang"])
+    for stage in (quality.filter_documents, near_copies.drop_near_duplicates, suffix_dedup.remove_repeats, mixing.mix_documents, simhash.add_fingerprints):
+        out = stage(odd.drop("__s_fp") if stage is simhash.add_fingerprints else odd)
+        assert out.columns[: len(docs.columns)] == docs.columns and out.select("`a.b`").count() > 0, stage
+    assert packing.pack(odd).count() >= 20
