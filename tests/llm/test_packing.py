@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from plumbline.llm import packing, tokens
 from tokenizers import Tokenizer
 
@@ -20,32 +21,50 @@ def best_fit_decreasing(sizes, length):
     return n
 
 
-def _check(placements, counts, length):
-    """Every rank of every class once; no two pieces of a sequence overlap, and none leaves a gap before it."""
-    seen, held = {k: np.zeros(n, int) for k, n in counts.items()}, {}
-    for k, r0, n, s0, off in placements:
-        seen[k][r0 : r0 + n] += 1
-        for i in range(n):
-            held.setdefault(s0 + i, []).append((off, k))
-    assert all((v == 1).all() for v in seen.values())
+def _sequences(spark, sizes, length):
+    """Sequences of a placement, in which no two pieces overlap and none leaves a gap before it."""
+    got = packing.place(spark.createDataFrame(list(enumerate(sizes)), "id long, size int").repartition(3), length).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(sizes)))
+    held = {}
+    for r in got:
+        held.setdefault(r["seq"], []).append((r["offset"], sizes[r["id"]]))
     for parts in held.values():
         at = 0
-        for off, k in sorted(parts):
+        for off, n in sorted(parts):
             assert off == at
-            at += k
+            at += n
         assert at <= length
     return len(held)
 
 
-def test_sweeps_need_about_as_many_sequences_as_one_by_one():
+@pytest.mark.parametrize("length,low,high,n", [(64, 1, 64, 500), (64, 20, 40, 300), (100, 1, 12, 2000), (2048, 50, 2048, 3000), (50, 50, 50, 30)])
+def test_sweeps_need_about_as_many_sequences_as_one_by_one(spark, length, low, high, n):
     r = random.Random(2)
-    for length, low, high, n in ((64, 1, 64, 500), (64, 20, 40, 300), (100, 1, 12, 2000), (2048, 50, 2048, 1500), (50, 50, 50, 30), (31, 11, 16, 400)):
-        sizes = [r.randint(low, high) for _ in range(n)]
-        counts = {k: sizes.count(k) for k in set(sizes)}
-        placements, n_seq = packing.sweep(counts, length)
-        assert _check(placements, counts, length) == n_seq
-        assert n_seq <= 1.02 * best_fit_decreasing(sizes, length) + 1
-    assert packing.sweep({}, 64) == ([], 0)
+    sizes = [r.randint(low, high) for _ in range(n)]
+    assert _sequences(spark, sizes, length) <= 1.02 * best_fit_decreasing(sizes, length) + 1
+
+
+def test_ranks_are_paired_across_partitions_like_brackets():
+    # Partition, pieces left, largest, gaps open, smallest.
+    runs = packing.pair_ranks([(0, 0, 1, 3, 100), (1, 2, 60, 2, 55), (2, 7, 50, 0, 0), (3, 9, 10, 0, 0)])
+    assert runs == [(1, 0, 2, 0, 0, 1), (2, 0, 2, 1, 0, 1), (2, 2, 2, 0, 2, 2)]
+    assert packing.pair_ranks([(0, 5, 9, 0, 0), (1, 0, 1, 4, 3)]) == []
+
+
+def test_a_round_gives_no_gap_away_twice(spark):
+    r = random.Random(5)
+    pieces = spark.createDataFrame([(i, r.randint(5, 30)) for i in range(300)], "id long, size int")
+    gaps = spark.createDataFrame([(1000 + i, r.randint(10, 60)) for i in range(120)], "id long, size int")
+    placed, left, after, n = packing._round(pieces, gaps, 5, 64)
+    got, rest, now = placed.collect(), left.collect(), {g["id"]: g["size"] for g in after.collect()}
+    was, size = {g["id"]: g["size"] for g in gaps.collect()}, {p["id"]: p["size"] for p in pieces.collect()}
+    assert len(rest) == n and sorted([g["id"] for g in got] + [x["id"] for x in rest]) == sorted(size)
+    for seq, gap in was.items():
+        at = 64 - gap
+        for off, k in sorted((g["offset"], size[g["id"]]) for g in got if g["seq"] == seq):
+            assert off == at
+            at += k
+        assert now.get(seq, 0) == 64 - at >= 0
 
 
 def test_pieces_against_plain_encoding(spark):
