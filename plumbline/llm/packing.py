@@ -1,16 +1,14 @@
 """Best-fit packing of token documents into sequences of fixed length, in bulk-synchronous sweeps.
 
-Pieces of documents and the gaps of open sequences are range-sorted together, the largest first. Each partition sweeps
-down its range: a gap that has been passed is open, and a piece takes the smallest open gap, which is the last one
-(its successor); what is left of that gap is open again once the sweep is below it. Pieces that found no gap in their
-partition and gaps that found no piece keep their rank there. The driver sees two counts a partition, pairs what is
-left across partitions as brackets are paired (the nearest larger gaps first), and hands out runs of ranks; pieces
-are then joined with their gaps by rank, so no two partitions give the same gap away. Gaps are updated together, and
-rounds repeat.
-
-Sizes are handled in tiers, the larger first, so small pieces are left to close small gaps. When hardly anything of a
-tier finds a gap any more, its longest pieces open new sequences, as many as what is left needs at least. Every round
-is written to the shared folder; nothing is gathered but counts by partition and by length.
+Documents of the same length are interchangeable, and so are open sequences with the same gap. The range-sorted
+order of documents and of gaps is therefore a histogram with `length` classes on either side, whatever the corpus
+size, and a sweep runs over classes: in each round, documents from the longest down meet the gaps from the smallest
+that holds them up (their successors); where more documents than gaps meet, they are served by rank and the rest go
+on to the next larger gap; every gap takes at most one document a round, all gaps are updated together, and rounds
+repeat until nothing fits. Lengths are handled in tiers that halve, so small documents are left to close small
+gaps. What the driver holds are counts of classes and runs of ranks, bounded by the sequence length alone. The
+executors do the rest: they tokenize, rank each piece inside its length class by two-level counting (blocks of
+65,536 rows, then offsets), and look up the run that holds its rank.
 
 A document longer than a sequence is cut into full sequences; only its first piece may be shorter.
 
@@ -20,14 +18,11 @@ for itself; null ids pass through; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import functools
-import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,175 +31,81 @@ from . import common, tokens
 P = "__p_"
 
 
-#: Tiers are divided at these parts of a sequence's length.
-TIERS = (2, 6, 32)
-#: A tier opens new sequences when a round has placed less than this share of its pieces.
-LEAST_PLACED = 0.1
-PIECE, GAP, DEFERRED, PLACED = 0, 1, 2, 3
-_SWEPT = "what int, id long, size int, part int, rank long, seq long"
-
-
-def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (size, kind, id) of one range, the largest first and gaps ahead of pieces of their size, to rows `_SWEPT`:
-    placed pieces (seq, and the gap as it was in `rank`), pieces and open gaps that are left with their rank, and
-    deferred gaps, which are smaller than what they met here."""
-    part = TaskContext.get().partitionId()
-    open_: list[tuple[int, int]] = []  # the smallest last
-    smaller: list[tuple[int, int]] = []  # what is left of gaps, largest first
-    left: list[tuple[int, int]] = []
-
-    def rows(what, ids, sizes, ranks, seqs) -> pa.RecordBatch:
-        n = len(ids)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([what] * n, ids, sizes, [part] * n, ranks, seqs), kinds)], [f.split()[0] for f in _SWEPT.split(", ")])
-
-    for b in batches:
-        got: list[tuple[int, int, int, int]] = []
-        for size, kind, at in zip(*(c.to_pylist() for c in b.columns)):
-            while smaller and -smaller[0][0] >= size:
-                gap, seq = heapq.heappop(smaller)
-                open_.append((-gap, seq))
-            if kind == GAP:
-                open_.append((size, at))
-            elif open_:
-                gap, seq = open_.pop()
-                got.append((at, size, gap, seq))
-                rest = gap - size
-                if rest >= size:
-                    open_.append((rest, seq))
-                elif rest:
-                    heapq.heappush(smaller, (-rest, seq))
-            else:
-                left.append((at, size))
-        if got:
-            yield rows(PLACED, *map(list, zip(*got)))
-    if left:
-        yield rows(PIECE, [x[0] for x in left], [x[1] for x in left], list(range(len(left))), [None] * len(left))
-    open_.reverse()
-    for what, gaps in ((GAP, open_), (DEFERRED, [(-g, s) for g, s in smaller])):
-        if gaps:
-            yield rows(what, [s for _, s in gaps], [g for g, _ in gaps], list(range(len(gaps))), [None] * len(gaps))
-
-
-def pair_ranks(counts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (part, first piece, pieces, part of gaps, first gap, pieces a gap) from (part, pieces left, largest of them,
-    gaps open, smallest of them), parts in order: each piece meets a gap of the nearest part before its own that has
-    any, and gaps take several pieces where all of those fit."""
-    out, open_ = [], []
-    for part, pieces, largest, gaps, smallest in sorted(counts):
-        first = 0
-        while first < pieces and open_:
-            at, used, n, gap = open_.pop()
-            each = max(1, gap // largest)
-            take = min(n - used, -(-(pieces - first) // each))
-            some = min(pieces - first, take * each)
-            out.append((part, first, some, at, used, each))
-            first += some
-            if used + take < n:
-                open_.append((at, used + take, n, gap))
-        if gaps:
-            open_.append((part, 0, gaps, smallest))
-    return out
-
-
-def _meet(runs: list[tuple[int, int, int, int, int, int]]):
-    """Pieces left (id, size, part, rank) to the gap that each meets (gap_part, gap_rank) and its place there, or nulls."""
-    r = np.array(sorted(runs), np.int64).reshape(-1, 6)
-    key = (r[:, 0] << 40) + r[:, 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part, rank = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            i = np.searchsorted(key, (part << 40) + rank, "right") - 1
-            own = r[np.maximum(i, 0)]
-            n = rank - own[:, 1]
-            none = (i < 0) | (own[:, 0] != part) | (n >= own[:, 2])
-            cols = [pa.array(c, mask=none) for c in (own[:, 3], own[:, 4] + n // own[:, 5], n % own[:, 5])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "size", "gap_part", "gap_rank", "place"])
-
-    return run
-
-
-def _round(pieces: DataFrame, gaps: DataFrame, low: int, length: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(placed, pieces left, gaps, how many are left): pieces and gaps are (id, size), placed is (id, seq, offset)."""
-    n = common.n_partitions(pieces.sparkSession)
-    items = pieces.select("size", F.lit(PIECE).alias("kind"), "id").unionByName(gaps.where(F.col("size") >= low).select("size", F.lit(GAP).alias("kind"), "id"))
-    order = [F.desc("size"), F.desc("kind")]
-    swept = items.repartitionByRange(n, *order, F.xxhash64("id")).sortWithinPartitions(*order).mapInArrow(_swept, _SWEPT)
-    swept = common.materialize(swept, "swept")
-    what = lambda k: F.col("what") == k
-    sums = swept.where(F.col("what") <= GAP).groupBy("part").agg(
-        F.count(F.when(what(PIECE), 1)).alias("p"), F.max(F.when(what(PIECE), F.col("size"))).alias("largest"),
-        F.count(F.when(what(GAP), 1)).alias("g"), F.min(F.when(what(GAP), F.col("size"))).alias("smallest"),
-    )
-    counts = [(r["part"], r["p"], r["largest"] or 1, r["g"], r["smallest"] or 0) for r in sums.collect()]  # a row a partition
-    runs = pair_ranks(counts)
-    placed = swept.where(what(PLACED)).select("id", "seq", (F.lit(length) - F.col("rank")).alias("offset"))
-    rest = gaps.where(F.col("size") < low).unionByName(swept.where(what(DEFERRED)).select("id", "size"))
-    open_ = swept.where(what(GAP)).select("id", "size", "part", "rank")
-    over = swept.where(what(PIECE)).select("id", "size", "part", "rank")
-    total = sum(c[1] for c in counts)
-    # What a local sweep has left of a gap is in its rows; a gap that was placed into and is full has none.
-    if not runs:
-        return placed, over.select("id", "size"), rest.unionByName(open_.select("id", "size")), total
-    met = over.mapInArrow(_meet(runs), "id long, size int, gap_part long, gap_rank long, place long")
-    pairs = met.where(F.col("place").isNotNull()).join(
-        open_.select(F.col("id").alias("seq"), F.col("size").alias("gap"), F.col("part").cast("long").alias("gap_part"), F.col("rank").alias("gap_rank")), ["gap_part", "gap_rank"]
-    )
-    # The pieces that a gap takes in a round: `length` at most.
-    before = F.sum("size").over(Window.partitionBy("seq").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    pairs = common.materialize(pairs.select("id", "seq", "gap", before.alias("upto"), "size"), "pairs")
-    taken = pairs.groupBy("seq").agg(F.max("upto").alias("taken"))
-    open_ = open_.join(taken, F.col("id") == F.col("seq"), "left").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).cast("int").alias("size"))
-    placed = placed.unionByName(pairs.select("id", "seq", (F.lit(length) - F.col("gap") + F.col("upto") - F.col("size")).alias("offset")))
-    left = met.where(F.col("place").isNull()).select("id", "size")
-    return placed, left, rest.unionByName(open_.where(F.col("size") > 0)), total - sum(r[2] for r in runs)
-
-
-def _opened(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(pieces that open a sequence, the others): about as many of the longest as all of them need at least."""
-    sizes = [(r["size"], r["n"]) for r in pieces.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()]  # `length` rows at most
-    need = -(-sum(s * n for s, n in sizes) // length)
-    for size, n in sizes:
-        if n >= need:
-            break
-        need -= n
-    # Of the last length about the number needed, by hash.
-    some = (F.col("size") > size) | ((F.col("size") == size) & (F.pmod(F.xxhash64("id"), F.lit(n)) < need)) if n > need else F.col("size") >= size
-    marked = common.materialize(pieces.withColumn("opens", some), "opens")
-    mine = marked.where("opens").drop("opens")
-    return mine, marked.where("NOT opens").drop("opens")
-
-
-def place(pieces: DataFrame, length: int) -> DataFrame:
-    """(id, seq, offset) for pieces (id, size) of 1 to `length` tokens; a sequence is named by the piece that opened it."""
-    placed: list[DataFrame] = []
-    gaps = pieces.sparkSession.createDataFrame([], "id long, size int")
-
-    def open_(own: DataFrame) -> None:
-        nonlocal gaps
-        placed.append(own.select("id", F.col("id").alias("seq"), F.lit(0).cast("long").alias("offset")))
-        gaps = gaps.unionByName(own.select("id", (F.lit(length) - F.col("size")).cast("int").alias("size")).where(F.col("size") > 0))
-
-    edges = [length, *(length // t for t in TIERS), 0]
-    for high, low in zip(edges, edges[1:]):
-        if high == low:
-            continue
-        tier = pieces.where((F.col("size") > low) & (F.col("size") <= high))
-        if high == length:  # no two of these fit together
-            open_(tier)
-            continue
-        left = tier.count()
-        while left:
-            was = left
-            got, tier, gaps, left = _round(tier, gaps, low + 1, length)
-            placed.append(got)
-            if left and was - left <= LEAST_PLACED * was:
-                own, tier = _opened(tier, length)
-                open_(own)
-                left = tier.count()
-        gaps = common.materialize(gaps, "gaps")
-    return functools.reduce(DataFrame.unionByName, [p.select("id", "seq", F.col("offset").cast("long").alias("offset")) for p in placed])
+def sweep(counts: dict[int, int], length: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Placements (class, first rank, ranks, first sequence, offset) for `counts` documents of each class, and the
+    number of sequences. A placement puts rank r0+i of the class at the offset in sequence s0+i."""
+    left = np.zeros(length + 1, np.int64)
+    for k, n in counts.items():
+        left[k] = n
+    rank = np.zeros(length + 1, np.int64)
+    out: list[tuple[int, int, int, int, int]] = []
+    gaps: list[list[list[int]]] = [[] for _ in range(length + 1)]  # runs [first sequence, how many] by gap
+    have = np.zeros(length + 1, np.int64)
+    n_seq = 0
+
+    def put(k: int, n: int, seq: int, gap: int) -> None:
+        out.append((k, int(rank[k]), n, seq, length - gap))
+        rank[k] += n
+        left[k] -= n
+
+    def open_new(k: int, n: int) -> None:
+        nonlocal n_seq
+        put(k, n, n_seq, length)
+        if length - k:
+            gaps[length - k].append([n_seq, n])
+            have[length - k] += n
+        n_seq += n
+
+    def round_(low: int, high: int) -> int:
+        """One bulk-synchronous round over classes low..high."""
+        placed, updates = 0, []
+        for k in range(high, low - 1, -1):
+            g = k
+            while left[k] and g <= length:
+                step = np.flatnonzero(have[g:])
+                if not len(step):
+                    break
+                g += int(step[0])
+                run = gaps[g][-1]
+                n = int(min(left[k], run[1]))
+                put(k, n, run[0], g)
+                placed += n
+                if g - k:
+                    updates.append((g - k, run[0], n))
+                run[0] += n
+                run[1] -= n
+                have[g] -= n
+                if not run[1]:
+                    gaps[g].pop()
+        for g, seq, n in updates:
+            gaps[g].append([seq, n])
+            have[g] += n
+        return placed
+
+    high = length
+    for k in range(length, length // 2, -1):  # no two of these fit together
+        if left[k]:
+            open_new(k, int(left[k]))
+    high = length // 2
+    while high:
+        low = high // 2 + 1
+        while True:
+            while round_(low, high):
+                pass
+            rest = left[low : high + 1]
+            total = int((rest * np.arange(low, high + 1)).sum())
+            if not total:
+                break
+            need = -(-total // length)  # sequences that what is left in this tier needs at least
+            for k in range(high, low - 1, -1):
+                n = int(min(left[k], need))
+                if n:
+                    open_new(k, n)
+                    need -= n
+                if not need:
+                    break
+        high = low - 1
+    return out, n_seq
 
 
 _PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -247,6 +148,24 @@ def _piece_rows(id_at: int, text_at: int, path: str | None, length: int, end_id:
     return run
 
 
+def _look_up(placements: list[tuple[int, int, int, int, int]], names: list[str]):
+    p = np.array(sorted(placements), np.int64).reshape(-1, 5)
+    span = int(p[:, 1].max() + 1) if len(p) else 1
+    first = p[:, 0] * span + p[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            k, r = col("length"), col(P + "rank")
+            # Ranks beyond the last run's first still belong to it, so they are capped for the search.
+            i = np.searchsorted(first, k * span + np.minimum(r, span - 1), "right") - 1
+            seq, off = p[i, 3] + r - p[i, 1], p[i, 4]
+            keep = [b.column(b.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
+
+    return run
+
+
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 0, vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -254,10 +173,18 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 0, vocabulary: str |
     schema = f"doc_id {id_type}, {_PIECES}" + (", ids binary" if with_ids else "")
     made = lean.mapInArrow(_piece_rows(0, 1, vocabulary, length, end_id, with_ids), schema)
     made = common.materialize(made.withColumn(P + "row", F.monotonically_increasing_id()), "pieces")
-    placed = place(made.select(F.col(P + "row").alias("id"), F.col("length").cast("int").alias("size")), length)
-    placed = placed.select(F.col("id").alias(P + "row"), F.col("seq").alias("sequence_id"), "offset")
+    made = made.withColumn(P + "block", F.shiftright(P + "row", 16))
+    per = common.materialize(made.groupBy("length", P + "block").agg(F.count("*").alias(P + "n")), "classes")
+    counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum(P + "n").alias("n")).collect()}  # `length` rows at most
+    placements, _ = sweep(counts, length)
+    before = Window.partitionBy("length").orderBy(P + "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = per.select("length", P + "block", F.coalesce(F.sum(P + "n").over(before), F.lit(0)).alias(P + "first"))
+    inside = Window.partitionBy(P + "block", "length").orderBy(P + "row")
+    ranked = made.withColumn(P + "in", F.row_number().over(inside) - 1).join(first, ["length", P + "block"])
+    ranked = ranked.withColumn(P + "rank", F.col(P + "in") + F.col(P + "first"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    return made.join(placed, P + "row").select(*names, "sequence_id", "offset")
+    out = ranked.select(*names, P + "rank")
+    return out.mapInArrow(_look_up(placements, names), f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
