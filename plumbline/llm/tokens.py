@@ -140,6 +140,10 @@ class Encoder:
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # Pieces are joined by a byte that UTF-8 does not have; a line end stands between them as a piece of its own.
         self.to_signs = {b: s for b, s in enumerate(self.signs)} | {0xFF: f" {self.signs[10]} "}
+        # Ids that begin with the sign of a space.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(self.signs[32])]] = True
         self.pieces, self.powers = Pieces(CACHE), _Powers()
         self.byte_class = np.full(256, UNKNOWN, np.uint8)
         for b in range(128):
@@ -212,14 +216,22 @@ class Encoder:
     def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, white: np.ndarray) -> None:
         """Put pieces and their ids by the library into the table."""
         made: list[np.ndarray] = [np.empty(0, np.uint32)] * len(start)
-        plain = np.flatnonzero(~white)
-        for k in range(0, len(plain), 1 << 15):
-            own = plain[k : k + (1 << 15)]
-            joined = b"\xff".join([raw[s:e] for s, e in zip(start[own].tolist(), end[own].tolist())]).decode("latin-1").translate(self.to_signs)
-            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            line = np.flatnonzero(ids == self.line_id)
-            for i, s, e in zip(own.tolist(), [0, *(line + 1).tolist()], [*line.tolist(), len(ids)]):
-                made[i] = ids[s:e]
+        # Pieces with a space in front need nothing between them: only their first ids begin with its sign.
+        spaced = ~white & (np.frombuffer(raw, np.uint8)[start] == 32)
+        for kind, signs in ((spaced, self.to_signs | {0xFF: " "}), (~white & ~spaced, self.to_signs)):
+            of_kind = np.flatnonzero(kind)
+            for k in range(0, len(of_kind), 1 << 15):
+                own = of_kind[k : k + (1 << 15)]
+                joined = b"\xff".join([raw[s:e] for s, e in zip(start[own].tolist(), end[own].tolist())]).decode("latin-1").translate(signs)
+                ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                if kind is spaced:
+                    first = np.flatnonzero(self.begins[ids])
+                    last = np.append(first[1:], len(ids))
+                else:
+                    line = np.flatnonzero(ids == self.line_id)
+                    first, last = np.concatenate([[0], line + 1]), np.append(line, len(ids))
+                for i, s, e in zip(own.tolist(), first.tolist(), last.tolist(), strict=True):
+                    made[i] = ids[s:e]
         for i in np.flatnonzero(white).tolist():
             made[i] = self._whole(raw[start[i] : end[i]])
         self.pieces.add(h, np.fromiter(map(len, made), np.int32, len(made)), np.concatenate(made))
