@@ -533,13 +533,14 @@ SELECT vec_id::VARCHAR AS external_id, round(list_cosine_similarity(e, {_vec(VEC
 
 
 # Writes that end or repeat others.
-def _as_changes(spark: SparkSession, sf_dir: str, op, **more) -> tuple[DataFrame, object]:
+def _as_changes(spark: SparkSession, sf_dir: str, op: str, **more) -> tuple[DataFrame, object]:
+    """The events as changes of another op, an SQL expression, and with other columns."""
     changes, schema = _changes(spark, sf_dir)
-    changes = changes.withColumn("op", op).withColumn("items", F.array(F.lit("kind"), F.lit("value")))
+    changes = changes.withColumn("op", F.expr(op)).withColumn("items", F.array(F.lit("kind"), F.lit("value")))
     return changes.withColumns(more), schema
 
 
-def _ended(op) -> Callable[[SparkSession, str], DataFrame]:
+def _ended(op: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         changes, schema = _as_changes(spark, sf_dir, op)
         return fold.live(fold.fold(fold.empty_state(spark, schema), changes, schema), schema)
@@ -548,13 +549,12 @@ def _ended(op) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _LAST = "SELECT user_id::VARCHAR AS external_id, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) AS value FROM {t} GROUP BY user_id"
-_add("fold_unindex", _ended(F.when(F.col("seq") % 50 == 0, "unindex").otherwise("merge")), f"WITH u AS (SELECT user_id AS k, max(event_id) AS u FROM events WHERE event_id % 50 = 0 GROUP BY user_id), x AS (SELECT * FROM events LEFT JOIN u ON user_id = k WHERE event_id > coalesce(u, -1)) {_LAST.format(t='x')}")
-_add("fold_truncate", _ended(F.when(F.col("seq") == 500, "truncate").otherwise("merge")), f"WITH x AS (SELECT * FROM events WHERE event_id > 500) {_LAST.format(t='x')}")
-_VERSION = {"version": (F.col("seq") * 7919) % 1009}
+_add("fold_unindex", _ended("if(seq % 50 = 0, 'unindex', 'merge')"), f"WITH u AS (SELECT user_id AS k, max(event_id) AS u FROM events WHERE event_id % 50 = 0 GROUP BY user_id), x AS (SELECT * FROM events LEFT JOIN u ON user_id = k WHERE event_id > coalesce(u, -1)) {_LAST.format(t='x')}")
+_add("fold_truncate", _ended("if(seq = 500, 'truncate', 'merge')"), f"WITH x AS (SELECT * FROM events WHERE event_id > 500) {_LAST.format(t='x')}")
 
 
 def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes, schema = _as_changes(spark, sf_dir, F.lit("replace"), **_VERSION)
+    changes, schema = _as_changes(spark, sf_dir, "'replace'", version=(F.col("seq") * 7919) % 1009)
     return fold.live(fold.fold(fold.empty_state(spark, schema), changes, schema), schema)
 
 
@@ -562,7 +562,7 @@ _add("fold_doc_versions", _replaced, SQL["fold_versions"])
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes, schema = _as_changes(spark, sf_dir, F.lit("replace"), **_VERSION)
+    changes, schema = _as_changes(spark, sf_dir, "'replace'", version=(F.col("seq") * 7919) % 1009)
     return fold.outcomes(fold.empty_state(spark, schema), changes)
 
 
@@ -583,7 +583,7 @@ _add("unchanged_fields", _unchanged, f"WITH {CUSTOMERS}, w AS (SELECT external_i
 def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sends of each request, of which the second counts only when the first is forgotten."""
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 37 % 5000)
-    changes, _ = _as_changes(spark, sf_dir, F.lit("merge"), request_id=F.floor(F.col("seq") / 2).cast("string"), at=at)
+    changes, _ = _as_changes(spark, sf_dir, "'merge'", request_id=F.floor(F.col("seq") / 2).cast("string"), at=at)
     return fold.without_repeats(changes, 600).select("seq", "external_id")
 
 
