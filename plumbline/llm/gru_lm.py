@@ -22,7 +22,9 @@ is unknown; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,15 +47,14 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def rare_class(word: bytes) -> int:
-    return zlib.crc32(word.decode("utf-8", "replace")[:2].encode()) % RARE
-
+@functools.lru_cache(1 << 16)
+def _class_of_head(head: bytes) -> int:
+    return zlib.crc32(head.decode("utf-8", "replace")[:2].encode()) % RARE
 
-class Codes(dict):
-    """Code of each token: 0..NET-1 the network's words, then other common ones, then COMMON + rare class."""
 
-    def __missing__(self, word: bytes) -> int:
-        return COMMON + rare_class(word)
+def rare_class(word: bytes) -> int:
+    head = word[:2]
+    return _class_of_head(head if head.isascii() else word[:8])  # two characters are eight bytes at most
 
 
 class Vocabulary:
@@ -61,7 +62,8 @@ class Vocabulary:
 
     def __init__(self, top: list[tuple[bytes, int]], total: int, distinct: int, class_n: np.ndarray, class_v: np.ndarray):
         self.total, self.distinct = total, distinct
-        self.codes = Codes((w, i) for i, (w, _) in enumerate(top))
+        #: 0..NET-1 the network's words, then other common ones; a word beyond them has COMMON + its rare class.
+        self.codes = {w: i for i, (w, _) in enumerate(top)}
         counts = np.zeros(COMMON)
         counts[: len(top)] = [n for _, n in top]
         self.klass = np.zeros(COMMON + RARE, np.int64)  # class of each code
@@ -69,6 +71,7 @@ class Vocabulary:
         if len(top) > NET:
             self.klass[NET : len(top)] = C + np.array([rare_class(w) for w, _ in top[NET:]])
         self.klass[COMMON:] = C + np.arange(RARE)
+        self.klass8 = self.klass.astype(np.uint8)
         class_n, class_v = class_n.astype(float), class_v.astype(float)
         for w, n in top[:NET]:
             class_n[rare_class(w)] -= n
@@ -87,9 +90,12 @@ class Vocabulary:
         """The codes of a text's tokens; words beyond the common ones are appended to `tail` as one list."""
         w = words(text)
         w.append(END)
-        codes = np.fromiter(map(self.codes.__getitem__, w), np.int32, len(w))
+        codes = np.fromiter(map(self.codes.get, w, itertools.repeat(-1)), np.int32, len(w))
+        at = np.flatnonzero(codes < 0)
+        beyond = [w[i] for i in at.tolist()]
+        codes[at] = [COMMON + rare_class(x) for x in beyond]
         if tail is not None:
-            tail.append([w[i].decode("utf-8", "replace") for i in np.flatnonzero(codes >= COMMON).tolist()])
+            tail.append([x.decode("utf-8", "replace") for x in beyond])
         return codes
 
 
@@ -213,18 +219,20 @@ class Network:
     def log_probs(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None):
         """log P(class | state) + log P(word | class, state) of each code (natural logs); optionally gradients."""
         p, v = self.p, self.v
-        s, k = states.reshape(-1, HIDDEN), codes.ravel()
+        k = codes.ravel()
         live = np.flatnonzero(k >= 0)
-        if len(live) < len(k):
-            s, k = s[live], k[live]
         # States lie between -1 and 1, so column sums bound the logits; exp of less than 80 cannot overflow.
         bounded = max(float((np.abs(p["Wc"]).sum(0) + np.abs(p["bc"])).max()), float((np.abs(p["Ww"]).sum(1) + np.abs(p["bw"])).max())) < 80
-        klass = v.klass[k]
+        klass = v.klass8[k[live]]
         # Tokens are put in the order of their classes once; each class is then a slice.
-        order = np.argsort(klass.astype(np.uint8), kind="stable")
-        s, k, klass = s[order], k[order], klass[order]
-        lc = s @ p["Wc"]
-        lc += p["bc"]
+        order = np.argsort(klass, kind="stable")
+        live, klass = live[order], klass[order]
+        k = k[live]
+        # Beside the state stands a 1, whose weights are the biases.
+        s = np.ones((len(k), HIDDEN + 1), states.dtype)
+        s[:, :HIDDEN] = states.reshape(-1, HIDDEN)[live]
+        lc = s @ np.vstack([p["Wc"], p["bc"]])
+        ww = np.concatenate([p["Ww"], p["bw"][:, None]], axis=1)
         at = np.arange(len(k))
         picked = lc[at, klass]
         e, total, shift = self._sums(lc, bounded)
@@ -233,8 +241,9 @@ class Network:
         if grads is not None:
             e *= (-1 / total)[:, None]
             e[at, klass] += 1
-            grads["Wc"] += s.T @ e
-            grads["bc"] += e.sum(0)
+            g = s.T @ e
+            grads["Wc"] += g[:HIDDEN]
+            grads["bc"] += g[HIDDEN]
             ds = e @ p["Wc"].T
         edge = np.searchsorted(klass, np.arange(C + 1)).tolist()
         for c in range(C):
@@ -242,18 +251,17 @@ class Network:
             if a == b:
                 continue
             so, j, i = s[a:b], k[a:b] - c * PER_CLASS, at[: b - a]
-            lw = so @ p["Ww"][c]
-            lw += p["bw"][c]
+            lw = so @ ww[c]
             picked = lw[i, j]
             e, total, shift = self._sums(lw, bounded)
             out[a:b] += picked - np.log(total) - (0 if shift is None else shift)
             if grads is not None:
                 e *= (-1 / total)[:, None]
                 e[i, j] += 1
-                grads["Ww"][c] += so.T @ e
-                grads["bw"][c] += e.sum(0)
+                g = so.T @ e
+                grads["Ww"][c] += g[:HIDDEN]
+                grads["bw"][c] += g[HIDDEN]
                 ds[a:b] += e @ p["Ww"][c].T
-        live = live[order]
         if grads is None:
             return out, live
         full = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
