@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product over a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample (`SAMPLE` vectors), has at most `MAX_LEAVES` leaves and travels to the
+The tree is fitted on a bounded sample (`SAMPLE` vectors and `SAMPLE_BYTES`, which the driver never holds as rows), has at most `MAX_LEAVES` leaves and travels to the
 executors in the task closure (at most 2 * MAX_LEAVES centres, whatever the table's size). Every vector is assigned
 to a leaf. A query walks the tree with a priority queue, nearest centre first, across branches; how many leaves it
 visits is calibrated: for `CALIBRATION` queries the exact neighbours are found by one pass over all rows, and visits
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE = 20_000
+#: Of the sample's vectors in double precision; long vectors are fewer.
+SAMPLE_BYTES = 40_000_000
 MAX_LEAVES = 4096
 LEAF = 128
 BRANCH = 16
@@ -43,7 +45,7 @@ SPARE = 6
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1)[None] - 2 * x @ c.T, axis=1)
+        near = np.argmin((c * c).sum(1)[None] - x @ (2 * c.T), axis=1)
         n = np.bincount(near, minlength=len(c))
         s = np.zeros_like(c)
         np.add.at(s, near, x)
@@ -66,7 +68,7 @@ class Tree:
             if quota < 2 or len(own) < 2:
                 continue
             c = _kmeans(own, min(BRANCH, quota), 8, rng)
-            near = np.argmin((c * c).sum(1)[None] - 2 * own @ c.T, axis=1)
+            near = np.argmin((c * c).sum(1)[None] - own @ (2 * c.T), axis=1)
             n = np.bincount(near, minlength=len(c))
             if (n > 0).sum() < 2:
                 continue
@@ -122,6 +124,19 @@ def _lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))]
 
 
+def _first(df: DataFrame, n: int, of: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cid, vectors) of the n rows (cid, vec) with the smallest hashes of their ids, out of `of` rows."""
+    # Ids are distinct, so a filter on their hash keeps about so many in all, and little more reaches the driver.
+    some = df.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(of)) < 2 * n) if of > 2 * n else df
+    got = some.select("cid", "vec", F.xxhash64("cid").alias("h")).toArrow()
+    cid = got.column("cid").to_numpy()
+    at = pa.array(np.lexsort((cid, got.column("h").to_numpy()))[:n])
+    out = cid[at], _matrix(got.column("vec").take(at).combine_chunks(), dim)
+    del got
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def _top(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row id, score) of the k best of each query, ties at the last place included."""
     if scores.shape[1] > k:
@@ -283,19 +298,16 @@ def _search_length(entries: DataFrame, rows: DataFrame, dim: int, k: int, target
 
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     stats = entries.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
-    # Ids are distinct, so a filter on their hash keeps about so many in all, and little more reaches the driver.
-    share = lambda df, n, of: df.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(of)) < 2 * n) if of > 2 * n else df
-    first = lambda df, n, of: share(df, n, of).orderBy(F.xxhash64("cid"), "cid").limit(n).collect()
     top = stats["top"]
-    some = np.array([r["vec"] for r in first(entries.select("cid", "vec"), SAMPLE, stats["n"])], np.float64)
-    tree = Tree(_lift(some, top), min(MAX_LEAVES, max(1, stats["n"] // LEAF)))
+    _, some = _first(entries, max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim))), stats["n"], dim)
+    tree = Tree(_lift(some, top), max(1, min(MAX_LEAVES, stats["n"] // LEAF, len(some) // 2)))
+    del some
     kind = entries.schema["vec"].dataType.simpleString()
     leaves = entries.select("cid", "vec").mapInArrow(_assign(tree, top, dim), f"cid long, vec {kind}, leaf int")
     leaves = common.materialize(leaves, "leaves")
 
     # Calibration: in which place of a query's walk are the leaves of its true neighbours?
-    probe = first(q, CALIBRATION, q.count())
-    pid, pq = np.array([r["cid"] for r in probe], np.int64), np.array([r["vec"] for r in probe], np.float64).reshape(-1, dim)
+    pid, pq = _first(q, CALIBRATION, q.count(), dim)
     best = leaves.select("cid", "vec").mapInArrow(_exact(pid, pq, k + 1), "qid long, cid long, score double")
     place = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     best = best.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)

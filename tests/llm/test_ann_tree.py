@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from plumbline.llm import ann_tree
 
 
@@ -51,3 +54,30 @@ def test_each_length_is_searched_apart(spark):
         df = spark.createDataFrame(order, "vec_id long, embedding array<double>")
         got = sorted(tuple(r) for r in ann_tree.ann_query(df).collect())
         assert got == [(0, 1, 1, 4.0), (20, 1, 21, 10.0), (20, 2, 22, 6.0)]
+
+
+def test_driver_holds_a_bounded_sample_of_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann_tree, "SAMPLE_BYTES", 2_000_000, raising=False)
+    sizes, fit = [], ann_tree.Tree
+    monkeypatch.setattr(ann_tree, "Tree", lambda x, n: sizes.append(x.shape) or fit(x, n))
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 512))
+    x = (centres[r.integers(0, 40, 3000)] + 0.3 * r.normal(size=(3000, 512))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(3000)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    tracemalloc.start()
+    try:
+        out = ann_tree.ann_query(df)
+        assert tracemalloc.get_traced_memory()[1] < 16_000_000
+    finally:
+        tracemalloc.stop()
+    assert sizes == [(488, 513)]
+    got = {}
+    for q, _, i, _ in out.collect():
+        got.setdefault(q, set()).add(i)
+    y = x.astype(float)
+    hit = 0
+    for q in range(0, 3000, 20):
+        score = y @ y[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20].tolist()) & got[q])
+    assert hit / (20 * 150) >= 0.9
