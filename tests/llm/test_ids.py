@@ -68,3 +68,13 @@ def test_repeats_nulls_and_empty_tables(spark, tmp_path):
     assert [r[2] for r in spans] == [None, 1, 5, 5, 5]
     assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert id_files.ids_query(docs.limit(0)).count() == 0
+
+
+def test_places_are_looked_up_in_order(monkeypatch):
+    """Lookups in the frequency table dominate decoding unless neighbouring keys ascend."""
+    r = np.random.default_rng(3)
+    ids = np.minimum(r.geometric(0.002, 20_000) - 1, 4999).astype(np.uint32)
+    frame, search, seen = id_coder.encode(ids, 5000), np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: seen.append(bool((np.diff(v) >= 0).all())) or search(a, v, *more))
+    assert (id_coder.decode(frame) == ids).all()
+    assert seen and all(seen)
