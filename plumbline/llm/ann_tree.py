@@ -2,15 +2,17 @@
 
 The tree is fitted on a bounded sample (`SAMPLE` vectors and `SAMPLE_BYTES`, which the driver never holds as rows), has at most `MAX_LEAVES` leaves and travels to the
 executors in the task closure (at most 2 * MAX_LEAVES centres, whatever the table's size). Every vector is assigned
-to a leaf. A query walks the tree with a priority queue, nearest centre first, across branches; how many leaves it
+to a leaf. A query visits the leaves of the tree best bin first, nearest centre first, across branches; how many leaves it
 visits is calibrated: for `CALIBRATION` queries the exact neighbours are found by one pass over all rows, and visits
 are widened until the leaves visited hold `target` of them. Inner products become distances by one more coordinate,
 sqrt(M^2 - |x|^2) with M the largest norm, so that the nearest centre means the largest product.
 
 Equal vectors are one entry of the index with their k+1 smallest ids (more can't be asked for), so copies, however
-many, cost one comparison. Entries of a leaf are packed into bounded blocks (`BLOCK` rows), queries into packs for each
-leaf as they are routed; blocks and packs meet in a join on the leaf, scores are matrix products in double precision,
-and each task keeps only the best of each query before anything is shuffled.
+many, cost one comparison. Neighbouring leaves make up `GROUPS` groups. A query goes once to each group it visits, with a bit for each
+leaf there, not once to each leaf: what is shuffled grows with the table alone, however many leaves are visited. Entries and queries
+are packed into chunks bounded in bytes before they are shuffled; chunks and packs of queries meet in a merge join on the
+group (their sizes are unknown to Spark, which would broadcast them), scores are matrix products in double precision, and each task
+keeps only the best of each query before anything is shuffled.
 
 Defined cases: vectors that are null, all zero, or hold nulls or non-finite numbers take no part, nor do rows with a
 null id; vectors of each length are searched among those of the same length, by a tree of their own; rows that repeat id and
@@ -20,7 +22,6 @@ vector count once; with fewer candidates than asked, all are returned; ties go t
 from __future__ import annotations
 
 import functools
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,13 @@ SAMPLE_BYTES = 40_000_000
 MAX_LEAVES = 4096
 LEAF = 128
 BRANCH = 16
-BLOCK = 512
+#: Parts of the tree that queries are sent to.
+GROUPS = 24
+#: Rows of a chunk of entries and of a pack of queries, and bytes of their vectors in double precision.
+CHUNK, CHUNK_BYTES = 2048, 1 << 20
+PACK, PACK_BYTES = 512, 1 << 19
+#: Vectors held while they are dealt to chunks.
+HELD_BYTES = 32_000_000
 CALIBRATION = 128
 #: Entries kept beyond the k asked for, before scores are taken anew; one is the query itself.
 SPARE = 6
@@ -101,19 +108,26 @@ class Tree:
                     todo.append((ch[j], sel))
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
-            _, node = heapq.heappop(queue)
-            ch = self.children[node]
-            if not ch:
-                out.append(self.leaf[node])
-                continue
-            c = self.centres[ch]
-            for d, i in zip((((c - q) ** 2).sum(1)).tolist(), ch):
-                heapq.heappush(queue, (d, i))
-        return out
+    def best_bins(self, q: np.ndarray, visits: int) -> np.ndarray:
+        """The first leaves of each query's best-bin-first walk, a row a query. A leaf's turn comes when the farthest centre on its way
+        from the root has come up, so the order is that of these farthest distances, then of the leaves' own."""
+        far = (self.centres * self.centres).sum(1)[None] - 2 * q @ self.centres.T + (q * q).sum(1)[:, None]
+        far[:, 0] = -np.inf
+        ends = np.array([i for i, ch in enumerate(self.children) if not ch])  # in the order of the leaves' numbers
+        own = far[:, ends].copy()
+        for i, ch in enumerate(self.children):  # children stand behind their parents
+            if ch:
+                far[:, ch] = np.maximum(far[:, ch], far[:, i : i + 1])
+        return np.lexsort((own, far[:, ends]), axis=-1)[:, :visits].astype(np.int32)
+
+
+class Groups:
+    """Runs of neighbouring leaves that hold about as many vectors of the sample each: those of group g are first[g] to first[g + 1] - 1."""
+
+    def __init__(self, counts: np.ndarray):
+        before = np.cumsum(counts) - counts
+        self.of = np.minimum(GROUPS - 1, before * GROUPS // max(1, int(counts.sum()))).astype(np.int32)
+        self.first = np.searchsorted(self.of, np.arange(GROUPS + 1))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -137,30 +151,33 @@ def _first(df: DataFrame, n: int, of: int, dim: int) -> tuple[np.ndarray, np.nda
     return out
 
 
-def _top(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row id, score) of the k best of each query, ties at the last place included."""
-    if scores.shape[1] > k:
-        cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        i, j = np.nonzero(scores >= cut)
-        return qids[i], ids[j], scores[i, j]
-    return np.repeat(qids, len(ids)), np.tile(ids, len(qids)), scores.ravel()
+def _top(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the k best of each row that reach its floor, ties at the last place included."""
+    some = scores >= np.maximum(floor, np.finfo(float).min)[:, None]
+    if scores.shape[1] > k and some.sum() > 2 * k * len(scores):
+        some &= scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+    return np.nonzero(some)
 
 
 _BEST = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
 
 
 class _Best:
-    """The k best hits of each query so far, by score and then smaller id; hits wait until enough have come."""
+    """The k best hits of each of a bounded set of queries so far, by score and then smaller id."""
+
+    def __init__(self, k: int, qids: np.ndarray):
+        self.k, self.qids, self.parts, self.size = k, np.sort(qids), [], 0
+        self.least = np.full(len(qids), -np.inf)
 
-    def __init__(self, k: int, most: int = 1_000_000):
-        self.k, self.most, self.parts, self.size = k, most, [], 0
+    def floor(self, qids: np.ndarray) -> np.ndarray:
+        """A score that k hits of each query are known to reach."""
+        return self.least[np.searchsorted(self.qids, qids)]
 
     def add(self, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         self.parts.append(hits)
         self.size += len(hits[0])
-        if self.size > self.most:
+        if self.size > 2 * self.k * len(self.qids):
             self.reduce()
-            self.most = max(self.most, 2 * self.size)
 
     def reduce(self) -> None:
         if self.parts:
@@ -169,95 +186,146 @@ class _Best:
             q, c, s = q[o], c[o], s[o]
             edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
             rank = np.arange(len(q)) - np.repeat(edge, np.diff(np.r_[edge, len(q)]))
+            last = rank == self.k - 1
+            self.least[np.searchsorted(self.qids, q[last])] = s[last]
             own = rank < self.k
             self.parts, self.size = [(q[own], c[own], s[own])], int(own.sum())
 
     def batch(self) -> pa.RecordBatch:
         self.reduce()
         cols = self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        self.parts, self.size = [], 0
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_BEST)
 
 
+def _cells(b: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The arrays of each row of list columns."""
+    cols = [b.column(n) for n in names]
+    cols = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in cols]
+    for i in range(len(b)):
+        yield [v[o[i] : o[i + 1]] for o, v in cols]
+
+
 def _exact(qids: np.ndarray, q: np.ndarray, k: int):
-    """All rows against a bounded set of queries: the best of each query per task."""
+    """All chunks against a bounded set of queries: the best of each query per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
+        best = _Best(k, qids)
         for b in batches:
-            if len(b):
-                ids, x = b.column(0).to_numpy(), _matrix(b.column(1), q.shape[1])
-                best.add(_top(q @ x.T, qids, ids, k))
+            for ids, xm in _cells(b, ("ids", "xm")):
+                scores = q @ xm.astype(np.float64).reshape(-1, q.shape[1]).T
+                i, j = _top(scores, k, best.floor(qids))
+                best.add((qids[i], ids[j], scores[i, j]))
         yield best.batch()
 
     return run
 
 
-def _score_blocks(dim: int, k: int, most_held: int = 400_000):
-    """Rows (query ids, query matrix, row ids, row matrix) to the best hits of each query in the task."""
+def _visited(q: np.ndarray, x: np.ndarray, leaf: np.ndarray, visits: np.ndarray) -> np.ndarray:
+    """Products of queries and entries where the query visits the entry's leaf (a number in the group), else -inf."""
+    want = visits[:, leaf]
+    if want.mean() > 0.25:
+        return np.where(want, q @ x.T, -np.inf)
+    out = np.full(want.shape, -np.inf)
+    edge = np.r_[np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]), len(leaf)]
+    for a, e in zip(edge[:-1], edge[1:]):
+        own = np.flatnonzero(want[:, a])
+        if len(own):
+            out[own, a:e] = q[own] @ x[a:e].T
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
-        for b in batches:
-            cells = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in b.columns]
-            for i in range(len(b)):
-                qi, qm, ids, xm = (v[o[i] : o[i + 1]] for o, v in cells)
-                q, x = qm.astype(np.float64).reshape(-1, dim), xm.astype(np.float64).reshape(-1, dim)
-                best.add(_top(q @ x.T, qi, ids, k))
-            if best.size > most_held:
-                best.reduce()
-                if best.size > most_held:
-                    yield best.batch()
-        yield best.batch()
 
-    return run
+def _in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added in the order of the components, as scores are defined."""
+    out = np.zeros(len(q))
+    for a, b in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(x.T)):
+        out += a * b
+    return out
 
 
-def _assign(tree: Tree, top: float, dim: int):
+def _score_chunks(groups: Groups, dim: int, k: int):
+    """Rows (group, pack of queries, chunk of entries) to the best hits of each pack. Products of matrices round by the matrices' shape,
+    so those kept (a few more than asked for) are added anew. Rows of a pack come one behind the other, so that one pack is held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = held = None
         for b in batches:
-            if len(b):
-                leaf = tree.assign(_lift(_matrix(b.column(1), dim), top))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], ["cid", "vec", "leaf"])
+            for g, bits, (qi, qm, ids, leaf, xm) in zip(b.column("g").to_pylist(), b.column("bits").to_pylist(), _cells(b, ("qi", "qm", "ids", "leaf", "xm"))):
+                if held != (g, qi[0], len(qi)):
+                    if best is not None:
+                        yield best.batch()
+                    held, best = (g, qi[0], len(qi)), _Best(k, qi)
+                    q = qm.astype(np.float64).reshape(-1, dim)
+                    visits = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(qi), -1), axis=1).astype(bool)
+                x = xm.astype(np.float64).reshape(-1, dim)
+                i, j = _top(_visited(q, x, leaf - groups.first[g], visits), k, best.floor(qi))
+                for a in range(0, len(i), 1 << 14):
+                    own, its = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+                    best.add((qi[own], ids[its], _in_order(q[own], x[its])))
+        if best is not None:
+            yield best.batch()
 
     return run
 
 
-def _route(tree: Tree, visits: int, dim: int, most_bytes: int = 48_000_000):
-    """Queries to packs (leaf, query ids, matrix) for the leaves that each visits; some queries at a time, so that the
-    copies of their vectors stay within `most_bytes`."""
-    some = max(1, most_bytes // (8 * dim * visits))
+def _pieces(ends: list[int], ids: np.ndarray, vec: pa.Array, dim: int) -> list[pa.Array]:
+    """Two list columns, ids and matrices, of rows cut at `ends` (from 0)."""
+    ends = np.asarray(ends, np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.ListArray.from_arrays(pa.array(ends * np.int32(dim)), vec.flatten())]
+
 
-    def packs(ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        bins = [tree.best_bins(x, visits) for x in np.c_[q, np.zeros(len(q))]]
-        src = np.repeat(np.arange(len(q)), [len(x) for x in bins])
-        leaf = np.array([y for x in bins for y in x], np.int32)
+def _deal(tree: Tree, groups: Groups, top: float, dim: int):
+    """Rows (cid, vec) to chunks (g, ids, leaf, xm) in the order of leaves, each of one group."""
+    most = max(16, min(CHUNK, CHUNK_BYTES // (8 * dim)))
+
+    def chunks(held: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        leaf = np.concatenate([h[2] for h in held])
         o = np.argsort(leaf, kind="stable")
-        src, leaf = src[o], leaf[o]
-        first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-        edge = np.unique(np.concatenate([np.arange(a, e, BLOCK) for a, e in zip(first, np.r_[first[1:], len(leaf)])]))
-        ends = np.r_[edge, len(leaf)].astype(np.int32)
-        qi = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[src]))
-        qm = pa.ListArray.from_arrays(pa.array(ends * dim), pa.array(q[src].ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(leaf[edge]), qi, qm], ["leaf", "qi", "qm"])
+        leaf, ids, vec = leaf[o], np.concatenate([h[0] for h in held])[o], pa.concat_arrays([h[1] for h in held]).take(pa.array(o))
+        at = np.searchsorted(leaf, groups.first)
+        ends = [0]
+        for a, e in zip(at[:-1], at[1:]):
+            ends += [*range(a + most, e, most), e] if e > a else []
+        qi, qm = _pieces(ends, ids, vec, dim)
+        return pa.RecordBatch.from_arrays([pa.array(groups.of[leaf[ends[:-1]]]), qi, pa.ListArray.from_arrays(qi.offsets, pa.array(leaf)), qm], ["g", "ids", "leaf", "xm"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             if len(b):
-                ids, q = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-                for k in range(0, len(b), some):
-                    yield packs(ids[k : k + some], q[k : k + some])
+                held.append((b.column(0).to_numpy(), b.column(1), tree.assign(_lift(_matrix(b.column(1), dim), top))))
+                size += 8 * dim * len(b)
+                if size > HELD_BYTES:
+                    yield chunks(held)
+                    held, size = [], 0
+        if held:
+            yield chunks(held)
 
     return run
 
 
-def _packed(rows: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """(leaf, ids, matrix) in packs of about BLOCK rows; leaf counts are at most MAX_LEAVES rows, so they are broadcast."""
-    per = rows.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("packs"))
-    dealt = rows.join(F.broadcast(per), "leaf").withColumn("pack", F.pmod(F.xxhash64("cid"), F.col("packs")))
-    return dealt.groupBy("leaf", "pack").agg(F.collect_list(F.struct("cid", "vec")).alias("r")).select(
-        "leaf", F.col("r.cid").alias(names[0]), F.flatten(F.col("r.vec")).alias(names[1])
-    )
+def _route(tree: Tree, groups: Groups, visits: int, dim: int):
+    """Queries to packs (g, qi, qm, bits): ids, matrix, and a row of bits for each query that tell which leaves of the group it visits."""
+    some = max(1, 2_000_000 // len(tree.centres))
+    most = max(16, min(PACK, PACK_BYTES // (8 * dim)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, len(b), some):
+                part = b.slice(s, some)
+                ids, q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+                bins = tree.best_bins(np.c_[q, np.zeros(len(q))], visits)
+                seen = np.zeros((len(q), tree.n_leaves), bool)
+                np.put_along_axis(seen, bins, True, axis=1)
+                order = np.argsort(bins[:, 0], kind="stable")  # queries of a pack have leaves in common
+                for g, (lo, hi) in enumerate(zip(groups.first[:-1], groups.first[1:])):
+                    own = order[seen[order, lo:hi].any(axis=1)]
+                    if len(own):
+                        ends = [0, *range(most, len(own), most), len(own)]
+                        bits = [np.packbits(seen[own[a:e], lo:hi], axis=1).tobytes() for a, e in zip(ends[:-1], ends[1:])]
+                        pieces = _pieces(ends, ids[own], part.column(1).take(pa.array(own)), dim)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), g, np.int32)), *pieces, pa.array(bits, pa.binary())], ["g", "qi", "qm", "bits"])
+
+    return run
 
 
 def index_entries(table: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -300,31 +368,32 @@ def _search_length(entries: DataFrame, rows: DataFrame, dim: int, k: int, target
     stats = entries.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
     top = stats["top"]
     _, some = _first(entries, max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim))), stats["n"], dim)
-    tree = Tree(_lift(some, top), max(1, min(MAX_LEAVES, stats["n"] // LEAF, len(some) // 2)))
+    some = _lift(some, top)
+    tree = Tree(some, max(1, min(MAX_LEAVES, stats["n"] // LEAF, len(some) // 2)))
+    groups = Groups(np.bincount(tree.assign(some), minlength=tree.n_leaves))
     del some
     kind = entries.schema["vec"].dataType.simpleString()
-    leaves = entries.select("cid", "vec").mapInArrow(_assign(tree, top, dim), f"cid long, vec {kind}, leaf int")
-    leaves = common.materialize(leaves, "leaves")
+    chunks = entries.select("cid", "vec").mapInArrow(_deal(tree, groups, top, dim), f"g int, ids array<long>, leaf array<int>, xm {kind}")
+    chunks = common.materialize(chunks, "chunks")
 
     # Calibration: in which place of a query's walk are the leaves of its true neighbours?
     pid, pq = _first(q, CALIBRATION, q.count(), dim)
-    best = leaves.select("cid", "vec").mapInArrow(_exact(pid, pq, k + 1), "qid long, cid long, score double")
+    best = chunks.select("ids", "xm").mapInArrow(_exact(pid, pq, k + 1), "qid long, cid long, score double")
     place = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    best = best.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
-    true = best.join(leaves.select("cid", "leaf"), "cid").select("qid", "leaf").collect()  # CALIBRATION * (k + 1) rows
-    walk = {int(i): {leaf: n for n, leaf in enumerate(tree.best_bins(np.r_[x, 0.0], tree.n_leaves))} for i, x in zip(pid, pq)}
+    best = best.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)  # CALIBRATION * (k + 1) rows
+    leaf_of = chunks.select(F.explode(F.arrays_zip("ids", "leaf")).alias("e")).select(F.col("e.ids").alias("cid"), F.col("e.leaf").alias("leaf"))
+    true = leaf_of.join(F.broadcast(best), "cid").select("qid", "leaf").collect()
+    walks = tree.best_bins(np.c_[pq, np.zeros(len(pq))], tree.n_leaves)
+    walk = {int(i): np.argsort(w) for i, w in zip(pid, walks)}
     depth = np.sort([walk[r["qid"]][r["leaf"]] for r in true])
     visits = int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))) - 1)]) + 1 if len(depth) else 1
 
-    routed = q.mapInArrow(_route(tree, visits, dim), "leaf int, qi array<long>, qm array<double>")
-    met = routed.join(_packed(leaves, ("ids", "xm")), "leaf").select("qi", "qm", "ids", "xm")
-    # Products of blocks round by the blocks' shape, so a few more are kept than asked for, and the scores of those are
-    # taken anew in the order of the components.
-    found = met.mapInArrow(_score_blocks(dim, k + SPARE), "qid long, cid long, score double")
-    found = found.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + SPARE)
-    named = found.select("qid", "cid").join(entries.select("cid", "ids", "vec"), "cid").join(q.select(F.col("cid").alias("qid"), F.col("vec").alias("qvec")), "qid")
-    product = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    named = named.select("qid", "ids", product.alias("score"))
+    routed = q.mapInArrow(_route(tree, groups, visits, dim), f"g int, qi array<long>, qm {kind}, bits binary")
+    # Neither side is one to broadcast, though Spark takes what comes out of Python for as small as what went in.
+    met = routed.join(chunks.hint("merge"), "g").select("g", "bits", "qi", "qm", "ids", "leaf", "xm")
+    found = met.mapInArrow(_score_chunks(groups, dim, k + SPARE), "qid long, cid long, score double")
+    found = found.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + SPARE).select("qid", "cid", "score")
+    named = found.join(entries.select("cid", "ids").hint("merge"), "cid")
     near = named.select("qid", "score", F.explode("ids").alias("id")).select("qid", F.struct((-F.col("score")).alias("s"), "id").alias("hit"))
     near = near.groupBy("qid").agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # (k + SPARE)^2 at most
     out = rows.join(near.withColumnRenamed("qid", "cid"), "cid")

@@ -81,3 +81,60 @@ def test_driver_holds_a_bounded_sample_of_long_vectors(spark, monkeypatch):
         score[q] = -np.inf
         hit += len(set(np.argsort(-score)[:20].tolist()) & got[q])
     assert hit / (20 * 150) >= 0.9
+
+
+def _clusters(n, dim=8, seed=9):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(60, dim))
+    return (centres[r.integers(0, 60, n)] + 0.4 * r.normal(size=(n, dim))).astype(np.float32)
+
+
+def test_what_python_makes_is_never_broadcast(spark):
+    """Spark takes the rows that come out of Python for as many as go in, and would broadcast the routed queries."""
+    x = _clusters(2000)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(2000)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    plan = ann_tree.ann_query(df)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-|")) for line in plan]
+    for i, line in enumerate(plan):
+        if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line:
+            sides = [j for j in range(i + 1, len(plan)) if depth[j] == depth[i] + 3]
+            end = next((j for j in range(sides[1], len(plan)) if depth[j] <= depth[i]), len(plan))
+            small = plan[sides[1] : end] if "BuildRight" in line else plan[sides[0] : sides[1]]
+            assert not any("MapInArrow" in s for s in small), line
+    assert any("MapInArrow" in line for line in plan) and any("SortMergeJoin" in line for line in plan)
+
+
+def test_a_query_is_sent_once_to_each_group(spark):
+    x = _clusters(4000).astype(float)
+    tree = ann_tree.Tree(np.c_[x, np.zeros(len(x))], 400)
+    groups = ann_tree.Groups(np.bincount(tree.assign(np.c_[x, np.zeros(len(x))]), minlength=tree.n_leaves))
+    assert tree.n_leaves > 4 * ann_tree.GROUPS
+    ids = pa.array(np.arange(200))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(list(x[:200].astype(np.float32)), pa.list_(pa.float32()))], ["cid", "vec"])
+    for visits in (1, 30, tree.n_leaves):
+        seen = {}
+        for b in ann_tree._route(tree, groups, visits, 8)([batch]):
+            for g, qi, qm, bits in zip(*(b.column(n).to_pylist() for n in ("g", "qi", "qm", "bits"))):
+                assert len(qm) == 8 * len(qi) and len(qi) <= ann_tree.PACK
+                rows = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(qi), -1), axis=1)
+                for q, row in zip(qi, rows):
+                    assert (q, g) not in seen and row.any()
+                    seen[q, g] = row.sum()
+        for q in range(200):
+            assert sum(n for (i, _), n in seen.items() if i == q) == visits
+        assert len(seen) <= 200 * ann_tree.GROUPS
+
+
+def test_visits_come_best_bin_first():
+    x = _clusters(3000).astype(float)
+    tree = ann_tree.Tree(x, 200)
+    for q, got in zip(x[:20], tree.best_bins(x[:20], tree.n_leaves)):
+        queue, far, turn = [(0.0, 0)], -1.0, []
+        while queue:  # the walk itself: leaves, each with the farthest centre that has come up by then
+            d, node = queue.pop(queue.index(min(queue)))
+            far = max(far, d)
+            queue += [(float(((tree.centres[c] - q) ** 2).sum()), c) for c in tree.children[node]]
+            turn += [] if tree.children[node] else [(round(far, 9), tree.leaf[node])]
+        assert sorted(got.tolist()) == list(range(tree.n_leaves))
+        at = dict((leaf, f) for f, leaf in turn)
+        assert [at[leaf] for leaf in got.tolist()] == [f for f, _ in turn]
