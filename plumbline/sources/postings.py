@@ -1,17 +1,23 @@
 """Postings files: an inverted index of a text field, so that a query reads the rows of its own tokens only.
 
-A row is (token, external_id, tf, dl, positions). Rows are range-sorted by token, so a query's tokens are found through
-Parquet statistics and dictionary filters, reading the row groups of those tokens only; a frequent token spans many
-files and is read by many tasks. Beside them lie the terms (token, df), sorted too, and the two numbers of the corpus.
+The index is made of segments: each task cuts its own documents into runs of about `SEGMENT` tokens, inverts every run
+and writes it as rows (token, n, ids, tf, dl, positions) in the order of tokens, one row for each token of the run. Nothing is
+shuffled, sorted on disk or read twice, so that an index costs as much as its table is large. Pages of Parquet hold few rows, and
+their ranges of tokens (the column index) let a query read its own tokens' pages alone; a frequent token has a row in
+every segment and is read by many tasks. A row without a token tells a segment's documents and tokens.
 A collection that has an index answers its lexical nodes from it (see `Postings` and `Collection.indexed`).
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import cached_property, reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,14 @@ from ..functions.text import analyze
 from ..operators import lexical
 from ..plans.nodes import Match
 
+#: Tokens inverted at once, more only where one document has more.
+SEGMENT = 2_000_000
+#: Rows of a Parquet page, and of what Python hands over at once.
+PAGE_ROWS, HANDED = 256, 4096
+#: Terms near a fuzzy one that are looked up by name; more are joined.
+MOST_TERMS = 1_000
+_ROWS = "token string, n int, ids array<string>, tf array<int>, dl array<int>, positions array<array<int>>"
+
 
 def build(collection, field: str, path: str) -> None:
     write(collection.tokens(field), path)
@@ -26,31 +40,60 @@ def build(collection, field: str, path: str) -> None:
 
 def write(tokens: DataFrame, path: str) -> None:
     """Write the index of (external_id, tokens)."""
-    spark = tokens.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Counting inside the row needs no shuffle: distinct tokens of the array, each with the places where it stands.
-    each = tokens.select("external_id", F.size("tokens").alias("dl"), F.explode(_places(F.col("tokens"))).alias("x"))
-    rows = each.select(F.col("x.token").alias("token"), "external_id", F.size("x.positions").alias("tf"), "dl", F.col("x.positions").alias("positions"))
-    rows.repartitionByRange(n, "token", "external_id").sortWithinPartitions("token", "external_id").write.mode("overwrite").parquet(f"{path}/postings")
-    terms = spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    terms.repartitionByRange(n, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/terms")
-    tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
-
-
-def _places(tokens: Column) -> Column:
-    """array<struct<token, positions>>: runs of the sorted tokens, each of which keeps where it stood."""
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    ordered = F.array_sort(F.transform(tokens, lambda x, i: F.struct(x.alias("t"), i.alias("p"))))
-
-    def runs(s: Column) -> Column:
-        marked = F.transform(s, lambda x, i: F.struct(i.alias("i"), ((i == 0) | (F.get(s, i - 1)["t"] != x["t"])).alias("new")))
-        starts = F.transform(F.filter(marked, lambda y: y["new"]), lambda y: y["i"])
-        of = lambda b, i, k: F.struct(
-            F.get(s, i)["t"].alias("token"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i), lambda x: x["p"]).alias("positions")
-        )
-        return let(starts, lambda b: F.transform(b, lambda i, k: of(b, i, k)))
-
-    return let(ordered, runs)
+    rows = tokens.select(F.col("external_id").cast("string"), "tokens").mapInArrow(_segments, _ROWS)
+    rows.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/segments")
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for b in batches:
+        ends = np.cumsum(b.column(1).value_lengths().fill_null(0).to_numpy())
+        at = 0
+        while at < len(b):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SEGMENT - size, side="right")))
+            held.append(b.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= SEGMENT or at < len(b):
+                yield from _inverted(held)
+                held, size = [], 0
+    if held:
+        yield from _inverted(held)
+
+
+def _inverted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one segment: first the one without a token, then the tokens in order."""
+    ids, lists = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+    dl = lists.value_lengths().fill_null(0).to_numpy().astype(np.int32)
+    words = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(words.dictionary)  # by bytes, as Spark and Parquet compare
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    key = rank[words.indices.to_numpy()] << 32 | np.arange(len(words))
+    key.sort()
+    token, at = key >> 32, key & 0xFFFFFFFF
+    doc = np.repeat(np.arange(len(dl), dtype=np.int32), dl)[at]
+    place = (at - (np.cumsum(dl, dtype=np.int64) - dl)[doc]).astype(np.int32)
+    new = np.ones(len(key), bool)
+    new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)  # of each posting
+    token, doc = token[first], doc[first]
+    ends = np.r_[first, len(key)].astype(np.int32)
+    edge = np.searchsorted(token, np.arange(len(order) + 1)).astype(np.int32)  # of each token
+    lead = pa.array(np.r_[0, edge])  # the row without a token is empty
+    inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(place))
+    of = lambda values: pa.ListArray.from_arrays(lead, values)
+    total = pa.array([[int(dl.sum())]], pa.list_(pa.int32()))
+    tf = of(pa.array(np.diff(ends)))
+    rows = pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([pa.array([None], pa.string()), words.dictionary.take(order).cast(pa.string())]), pa.array(np.r_[len(dl), np.diff(edge)].astype(np.int32)),
+            of(ids.take(pa.array(doc)).cast(pa.string())), pa.concat_arrays([total, tf.slice(1)]), of(pa.array(dl[doc])), of(inner),
+        ], ["token", "n", "ids", "tf", "dl", "positions"],
+    )
+    for k in range(0, len(rows), HANDED):
+        yield rows.slice(k, HANDED)
 
 
 class Postings:
@@ -60,18 +103,20 @@ class Postings:
         self.spark, self.path = spark, path
 
     @cached_property
-    def posts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+    def segments(self) -> DataFrame:
+        return self.spark.read.schema(_ROWS).parquet(f"{self.path}/segments")
 
-    @cached_property
-    def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+    def posts(self, mine: DataFrame, places: bool) -> DataFrame:
+        """(token, external_id, tf, dl, positions) of rows of segments; positions are null unless asked for, and then not read."""
+        each = ["ids", "tf", "dl", *(["positions"] if places else [])]
+        held = F.col("x.positions") if places else F.lit(None).cast("array<int>")
+        return mine.select("token", F.explode(F.arrays_zip(*each)).alias("x")).select("token", F.col("x.ids").alias("external_id"), "x.tf", "x.dl", held.alias("positions"))
 
     @cached_property
     def corpus(self) -> tuple[int, int]:
-        """How many documents have a value, and how many tokens those hold: one row, read once."""
-        row = self.spark.read.parquet(f"{self.path}/corpus").first()
-        return row["n"], row["total"]
+        """How many documents have a value, and how many tokens those hold: one sum, read once."""
+        row = self.segments.where(F.col("token").isNull()).agg(F.sum("n"), F.sum(F.get("tf", F.lit(0)).cast("long"))).first()
+        return row[0] or 0, row[1] or 0
 
     def hits(self, wanted: list[tuple[str, int]], every: bool, phrase: bool = False) -> DataFrame:
         """(external_id, score) of the documents that hold any (or every) one of the (token, edits) wanted; a repeated
@@ -79,7 +124,7 @@ class Postings:
         index = list(dict.fromkeys(wanted))
         weight = Counter(wanted)
         number = {w: i for i, w in enumerate(index)}
-        legs = [self._exact([w for w in index if not w[1]], number, weight)] if any(not e for _, e in index) else []
+        legs = [self._exact([w for w in index if not w[1]], number, weight, phrase)] if any(not e for _, e in index) else []
         legs += [self._near(w, number[w], weight[w]) for w in index if w[1]]
         parts = legs[0]
         for leg in legs[1:]:
@@ -103,11 +148,11 @@ class Postings:
         n, total = self.corpus
         return df.select(F.struct(F.lit(n).alias("n"), F.lit(total).alias("total"), *df.columns)).scalar()
 
-    def _exact(self, index: list[tuple[str, int]], number: dict, weight: Counter) -> DataFrame:
+    def _exact(self, index: list[tuple[str, int]], number: dict, weight: Counter, places: bool) -> DataFrame:
         words = [t for t, _ in index]
-        mine = F.col("token").isin(words)
-        df = self.terms.where(mine).agg(*[F.coalesce(F.max(F.when(F.col("token") == t, F.col("df"))), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(words)])
-        out = self.posts.where(mine).withColumn("s", self._stats(df))
+        mine = self.segments.where(F.col("token").isin(words))
+        df = mine.agg(*[F.coalesce(F.sum(F.when(F.col("token") == t, F.col("n"))), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(words)])
+        out = self.posts(mine, places).withColumn("s", self._stats(df))
         part = at = None
         for i, w in enumerate(index):
             is_it = F.col("token") == w[0]
@@ -117,8 +162,10 @@ class Postings:
         return out.select("external_id", at.alias("at"), part.alias("part"), "positions")
 
     def _near(self, w: tuple[str, int], at: int, weight: int) -> DataFrame:
-        close = self.terms.where(lexical.near(F.col("token"), *w)).select("token")
-        each = self.posts.join(close, "token", "left_semi").groupBy("external_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+        close = self.segments.where(lexical.near(F.col("token"), *w)).select("token").distinct()
+        names = [r["token"] for r in close.limit(MOST_TERMS + 1).collect()]
+        mine = self.segments.where(F.col("token").isin(names)) if len(names) <= MOST_TERMS else self.segments.join(close, "token", "left_semi")
+        each = self.posts(mine, False).groupBy("external_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
         out = each.withColumn("s", self._stats(each.agg(F.count(F.lit(1)).alias("df_0"))))
         one = lexical.contribution(F.col("tf"), F.col("dl"), F.col("s"), 0) * float(weight)
         return out.select("external_id", F.lit(at).alias("at"), one.alias("part"), F.lit(None).cast("array<int>").alias("positions"))
@@ -147,5 +194,5 @@ def search(spark: SparkSession, path: str, match: Match, analyzer: str = "whites
     tokens = lexical.query_tokens(spark, match.text, analyzer)
     index = Postings(spark, path)
     if not tokens:
-        return index.posts.where(F.lit(False)).select("external_id", F.lit(0.0).alias("score"))
+        return index.posts(index.segments.where(F.lit(False)), False).select("external_id", F.lit(0.0).alias("score"))
     return index.hits([(t, 0) for t in tokens], every=match.op == "and")
