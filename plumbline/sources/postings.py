@@ -26,7 +26,7 @@ from ..operators import lexical
 from ..plans.nodes import Match
 
 #: Tokens inverted at once, more only where one document has more.
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 #: Rows of a Parquet page, and of what Python hands over at once.
 PAGE_ROWS, HANDED = 256, 4096
 #: Terms near a fuzzy one that are looked up by name; more are joined.
@@ -72,15 +72,16 @@ def _inverted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank[order.to_numpy()] = np.arange(len(order))
     key = rank[words.indices.to_numpy()] << 32 | np.arange(len(words))
     key.sort()
-    token, at = key >> 32, key & 0xFFFFFFFF
+    token, at = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+    del key
     doc = np.repeat(np.arange(len(dl), dtype=np.int32), dl)[at]
-    place = (at - (np.cumsum(dl, dtype=np.int64) - dl)[doc]).astype(np.int32)
-    new = np.ones(len(key), bool)
+    place = at - (np.cumsum(dl) - dl).astype(np.int32)[doc]
+    new = np.ones(len(at), bool)
     new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)  # of each posting
     token, doc = token[first], doc[first]
-    ends = np.r_[first, len(key)].astype(np.int32)
-    edge = np.searchsorted(token, np.arange(len(order) + 1)).astype(np.int32)  # of each token
+    ends = np.r_[first, len(at)].astype(np.int32)
+    edge = np.searchsorted(token, np.arange(len(order) + 1, dtype=np.int32)).astype(np.int32)  # of each token
     lead = pa.array(np.r_[0, edge])  # the row without a token is empty
     inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(place))
     of = lambda values: pa.ListArray.from_arrays(lead, values)
